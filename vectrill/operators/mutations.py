@@ -1,0 +1,40 @@
+"""Changes to rows as pure DataFrame plans: what a collection holds after the operation."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.numbering import number_rows
+
+
+def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Of rows with one key the last in ``order``; a partial aggregate, so a key with many rows isn't gathered."""
+    rest = [c for c in rows.columns if c != key]
+    best = rows.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r"))
+    return best.select(key, "r.*").select(*rows.columns)
+
+
+def insert(rows: DataFrame, new: DataFrame, order: str, next_uid: int) -> DataFrame:
+    """``rows`` and ``new`` (whose ids aren't there), numbered on from ``next_uid`` in ``order``."""
+    return rows.unionByName(number_rows(new, [order], next_uid, "uid").select(*rows.columns))
+
+
+def upsert(rows: DataFrame, new: DataFrame, order: str, next_uid: int, key: str = "id") -> DataFrame:
+    """Rows with an id in ``new`` are replaced whole and keep their uid; others are added."""
+    kept = rows.join(new.select(key), key, "left_anti")
+    changed = new.join(rows.select(key, "uid"), key).select(*rows.columns)
+    fresh = new.join(rows.select(key), key, "left_anti")
+    return insert(kept.unionByName(changed).select(*rows.columns), fresh, order, next_uid)
+
+
+def delete(rows: DataFrame, condition: Column) -> DataFrame:
+    """Rows for which the condition is not true."""
+    return rows.where(~F.coalesce(condition, F.lit(False)))
+
+
+def replace(rows: DataFrame, changes: DataFrame, key: str, column: str) -> DataFrame:
+    """``column`` taken from ``changes`` where it has the key."""
+    new = changes.select(F.col(key).alias("_key"), F.col(column).alias("_new"), F.lit(True).alias("_hit"))
+    joined = rows.join(new, rows[key] == new["_key"], "left")
+    return joined.withColumn(column, F.when(F.col("_hit"), F.col("_new")).otherwise(F.col(column))).select(*rows.columns)

@@ -1,6 +1,315 @@
-def queries():
-    return {}
+"""Registered queries of the collection engine, each with the SQL it must agree with.
 
+Virtual collections over the driver's tables: vectors are ``embeddings`` (uid = vec_id, metadata ``{"label": ...}``),
+texts are ``documents`` (uid = doc_id, metadata lang, source, n_chars), events carry their ``props`` as metadata.
+Changes are shown as the rows that a collection would hold afterwards, by the same merge that storage applies.
+"""
 
-def oracle_sql():
-    return {}
+from __future__ import annotations
+
+import functools
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.vectors import cosine_distance, dot, matrix, normalize, round5
+from ..operators import filters, mutations, quantize, search
+
+QUERIES_BELOW = 20
+K = 10
+PAIR_DISTANCE = 0.8
+
+
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def vectors(spark: SparkSession, sf: str) -> DataFrame:
+    e = _table(spark, sf, "embeddings")
+    return e.select(F.col("vec_id").alias("uid"), F.to_json(F.struct("label")).alias("metadata"), F.col("embedding").alias("vector"))
+
+
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    d = _table(spark, sf, "documents")
+    return d.select(F.col("doc_id").alias("uid"), F.col("text").alias("document"), F.to_json(F.struct("lang", "source", "n_chars")).alias("metadata"))
+
+
+def events(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "events").select(F.col("event_id").alias("uid"), F.col("props").alias("metadata"))
+
+
+def _query_matrix(rows: DataFrame) -> tuple[np.ndarray, list[int]]:
+    """The stated query set: vectors with a uid below 20."""
+    q = rows.where(F.col("uid") < QUERIES_BELOW).select("uid", "vector").orderBy("uid").toArrow()
+    return matrix(q.column("vector")), q.column("uid").to_pylist()
+
+
+def _shown(hits: DataFrame) -> DataFrame:
+    return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "uid", round5(F.col("distance")).alias("distance"))
+
+
+def _knn(spark, sf, where=None) -> DataFrame:
+    rows = vectors(spark, sf)
+    q, ids = _query_matrix(rows)
+    condition = filters.compile_where(where)
+    return _shown(search.knn(rows if condition is None else rows.where(condition), q, K, ids))
+
+
+def q_knn(spark, sf):
+    return _knn(spark, sf)
+
+
+def q_knn_expr(spark, sf):
+    rows = vectors(spark, sf)
+    return _shown(search.knn_expr(rows, rows.where(F.col("uid") < QUERIES_BELOW).select(F.col("uid").alias("query_id"), "vector"), K))
+
+
+def q_knn_join(spark, sf):
+    """All vectors against all vectors, in blocks."""
+    rows = vectors(spark, sf)
+    return _shown(search.knn_join(rows, rows.select(F.col("uid").alias("query_id"), "vector"), 3, block_rows=1024, ship_bytes=0))
+
+
+def q_knn_filter(spark, sf):
+    return _knn(spark, sf, {"label": 3})
+
+
+def q_knn_in(spark, sf):
+    return _knn(spark, sf, {"label": {"$in": [1, 2, 7]}})
+
+
+def q_knn_doc(spark, sf):
+    docs = texts(spark, sf)
+    rows = vectors(spark, sf)
+    q, ids = _query_matrix(rows)
+    kept = docs.where(filters.compile_where_document({"$contains": "the"})).select("uid")
+    return _shown(search.knn(rows.join(kept, "uid"), q, K, ids))
+
+
+def q_knn_quantized(spark, sf):
+    rows = vectors(spark, sf)
+    q, ids = _query_matrix(rows)
+    hits = quantize.knn_quantized(rows, q, K, 4)
+    names = F.array(*[F.lit(i) for i in ids])
+    return _shown(hits.withColumn("query_id", F.get(names, F.col("query_id").cast("int"))))
+
+
+def q_recall(spark, sf):
+    rows = vectors(spark, sf)
+    q, _ = _query_matrix(rows)
+    found = search.recall_at_k(quantize.knn_quantized(rows, q, K, 4), search.knn(rows, q, K), K)
+    return found.select((F.col("recall") >= 0.95).alias("recall_reached"))
+
+
+def q_pairs(spark, sf):
+    return search.candidate_pairs(vectors(spark, sf), PAIR_DISTANCE, 6)
+
+
+def q_get_page(spark, sf):
+    return texts(spark, sf).orderBy("uid").offset(20).limit(50).select("uid", "document")
+
+
+def q_get_ids(spark, sf):
+    rows = texts(spark, sf).withColumn("id", F.col("uid").cast("string"))
+    return filters.by_ids(rows, ["3", "17", "5", "3", "no such id"]).select("id", "document")
+
+
+def _filtered(where, spark, sf):
+    return events(spark, sf).where(filters.compile_where(where)).select("uid")
+
+
+def _filtered_texts(where, spark, sf):
+    return texts(spark, sf).where(filters.compile_where(where)).select("uid")
+
+
+#: Filters on the events' one field, with what they mean in SQL.
+EVENT_FILTERS = {
+    "q_filter_eq": ({"k": 7}, "k = 7"),
+    "q_filter_ne": ({"k": {"$ne": 7}}, "k <> 7"),
+    "q_filter_gt": ({"k": {"$gt": 50}}, "k > 50"),
+    "q_filter_gte": ({"k": {"$gte": 50}}, "k >= 50"),
+    "q_filter_lt": ({"k": {"$lt": 10.5}}, "k < 10.5"),
+    "q_filter_lte": ({"k": {"$lte": 10}}, "k <= 10"),
+    "q_filter_in": ({"k": {"$in": [1, 2, 3, "4"]}}, "k in (1, 2, 3)"),
+    "q_filter_nin": ({"k": {"$nin": [1, 2, 3, "4"]}}, "k not in (1, 2, 3)"),
+}
+#: Filters on the documents' fields.
+TEXT_FILTERS = {
+    "q_filter_and": ({"$and": [{"lang": "en"}, {"n_chars": {"$gt": 1000}}]}, "lang = 'en' and n_chars > 1000"),
+    "q_filter_or": ({"$or": [{"lang": "fr"}, {}, {"n_chars": {"$lte": 100}}]}, "lang = 'fr' or n_chars <= 100"),
+    "q_filter_nested": ({"$and": [{"$or": [{"lang": "de"}, {"lang": "es"}]}, {"source": {"$ne": "src0"}}]}, "lang in ('de', 'es') and source <> 'src0'"),
+    "q_filter_implicit_and": ({"lang": "en", "source": "src0"}, "lang = 'en' and source = 'src0'"),
+    "q_filter_cross_type": ({"lang": {"$gt": 5}}, "lang is not null"),
+}
+
+
+def q_filter_missing(spark, sf):
+    rows = events(spark, sf)
+    none = rows.where(filters.compile_where({"absent": {"$ne": 1}})).agg(F.count(F.lit(1)).alias("n_ne"))
+    also = rows.where(filters.compile_where({"absent": {"$nin": [1]}})).agg(F.count(F.lit(1)).alias("n_nin"))
+    return none.crossJoin(also)
+
+
+def _contains(needle, spark, sf):
+    return texts(spark, sf).where(filters.compile_where_document({"$contains": needle})).select("uid")
+
+
+def q_count(spark, sf):
+    return texts(spark, sf).agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_norm(spark, sf):
+    unit = vectors(spark, sf).select("uid", normalize(F.transform("vector", lambda x: x * 3)).alias("v"))
+    return unit.select("uid", F.round(F.sqrt(dot("v", "v")), 5).alias("norm"), F.round(F.get("v", F.lit(0)), 4).alias("first"))
+
+
+def q_distance(spark, sf):
+    rows = vectors(spark, sf)
+    first = rows.where("uid = 0").select(F.col("vector").alias("q"))
+    return rows.crossJoin(F.broadcast(first)).select("uid", round5(cosine_distance("vector", "q")).alias("distance"))
+
+
+def _base(spark, sf) -> DataFrame:
+    return texts(spark, sf).where("uid < 100").select("uid", F.col("uid").cast("string").alias("id"), F.substring("document", 1, 20).alias("document"))
+
+
+def _batch(spark, sf) -> DataFrame:
+    """Rows 50 to 149 again, with other texts."""
+    d = texts(spark, sf).where("uid >= 50 and uid < 150")
+    return d.select(F.col("uid").alias("ordinal"), F.col("uid").cast("string").alias("id"), F.concat(F.lit("new "), F.substring("document", 1, 5)).alias("document"))
+
+
+def q_add(spark, sf):
+    fresh = _batch(spark, sf).join(_base(spark, sf).select("id"), "id", "left_anti")
+    return mutations.insert(_base(spark, sf), fresh, "ordinal", 100)
+
+
+def q_upsert(spark, sf):
+    return mutations.upsert(_base(spark, sf), _batch(spark, sf), "ordinal", 100)
+
+
+def q_upsert_dedup(spark, sf):
+    twice = _batch(spark, sf).union(_batch(spark, sf).select(F.col("ordinal") + 1000, "id", F.lit("last")))
+    return mutations.last_wins(twice, "id", "ordinal").select("id", "document")
+
+
+def q_delete_where(spark, sf):
+    return mutations.delete(texts(spark, sf), filters.compile_where({"lang": "en"})).select("uid")
+
+
+def q_delete_ids(spark, sf):
+    rows = texts(spark, sf).withColumn("id", F.col("uid").cast("string"))
+    return mutations.delete(rows, F.col("id").isin("1", "2", "3")).select("uid")
+
+
+def q_clear(spark, sf):
+    return mutations.delete(texts(spark, sf), F.lit(True)).agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_update_metadata(spark, sf):
+    changes = texts(spark, sf).where("uid % 3 = 0").select("uid", F.lit('{"seen":1}').alias("metadata"))
+    return mutations.replace(texts(spark, sf).select("uid", "metadata"), changes, "uid", "metadata")
+
+
+def q_update_document(spark, sf):
+    changes = texts(spark, sf).where("uid % 5 = 0").select("uid", F.lit("changed").alias("document"))
+    return mutations.replace(texts(spark, sf).select("uid", "document"), changes, "uid", "document")
+
+
+def q_uid_alloc(spark, sf):
+    from ..functions.numbering import number_rows
+
+    rows = texts(spark, sf).where("uid % 2 = 0").select(F.col("uid").alias("ordinal"))
+    return number_rows(rows, ["ordinal"], 1000, "new_uid")
+
+
+def _toy_embedder(texts_):
+    """Width 8: the length of the text, and ones."""
+    return np.array([[len(t), 1, 1, 1, 1, 1, 1, 1] for t in texts_], np.float32)
+
+
+def q_reembed(spark, sf):
+    from ..operators.embed import embed_frame
+
+    rows = texts(spark, sf).withColumn("document", F.when(F.col("uid") % 10 == 0, "").otherwise(F.substring("document", 1, 50)))
+    new = embed_frame(rows.where("document <> ''").select("uid", "document"), _toy_embedder, 8)
+    return new.select("uid", F.round(F.get("vector", F.lit(0)).cast("double"), 4).alias("first"))
+
+
+def q_health(spark, sf):
+    rows = vectors(spark, sf)
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("uid").alias("n_ids"), F.min(F.size("vector")).cast("long").alias("low"), F.max(F.size("vector")).cast("long").alias("high"), F.count_if(F.col("vector").isNull()).alias("n_null")
+    )
+
+
+def q_fingerprint(spark, sf):
+    return quantize.fingerprint(vectors(spark, sf))
+
+
+def queries() -> dict:
+    plain = (
+        q_knn, q_knn_expr, q_knn_join, q_knn_filter, q_knn_in, q_knn_doc, q_knn_quantized, q_recall, q_pairs, q_get_page, q_get_ids, q_filter_missing,
+        q_count, q_norm, q_distance, q_add, q_upsert, q_upsert_dedup, q_delete_where, q_delete_ids, q_clear, q_update_metadata, q_update_document, q_uid_alloc, q_reembed, q_health, q_fingerprint,
+    )
+    out = {f.__name__: f for f in plain}
+    out |= {name: functools.partial(_filtered, where) for name, (where, _) in EVENT_FILTERS.items()}
+    out |= {name: functools.partial(_filtered_texts, where) for name, (where, _) in TEXT_FILTERS.items()}
+    return out | {"q_doc_contains": functools.partial(_contains, "The"), "q_doc_contains_escape": functools.partial(_contains, "%")}
+
+
+_DIST = "round(1 - list_cosine_similarity(q.embedding::double[], e.embedding::double[]), 5) + 0.0"
+_FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _knn_sql(rows: str = "embeddings", where: str = "true", queries: str = "vec_id < 20", k: int = K) -> str:
+    return f"""
+select query_id, rank, uid, distance from (
+  select q.vec_id as query_id, e.vec_id as uid, {_DIST} as distance,
+    row_number() over (partition by q.vec_id order by 1 - list_cosine_similarity(q.embedding::double[], e.embedding::double[]), e.vec_id) as rank
+  from (select * from embeddings where {queries}) as q cross join (select * from {rows} where {where}) as e
+) where rank <= {k}"""
+
+
+_BASE = "select doc_id as uid, doc_id::varchar as id, substring(text, 1, 20) as document from documents where doc_id < 100"
+_BATCH = "select doc_id as ordinal, doc_id::varchar as id, 'new ' || substring(text, 1, 5) as document from documents where doc_id >= 50 and doc_id < 150"
+
+
+def oracle_sql() -> dict[str, str]:
+    contains = f"(select e.* from embeddings e join documents d on d.doc_id = e.vec_id where contains({_FOLD}, 'the'))"
+    out = {
+        "q_knn": _knn_sql(),
+        "q_knn_expr": _knn_sql(),
+        "q_knn_join": _knn_sql(queries="true", k=3),
+        "q_knn_filter": _knn_sql(where="label = 3"),
+        "q_knn_in": _knn_sql(where="label in (1, 2, 7)"),
+        "q_knn_doc": _knn_sql(rows=contains),
+        "q_knn_quantized": _knn_sql(),
+        "q_recall": "select true as recall_reached",
+        "q_pairs": f"""
+with near as ({_knn_sql(queries="true", k=6)})
+select least(query_id, uid) as a, greatest(query_id, uid) as b, min(distance) as distance from near where query_id <> uid and distance <= {PAIR_DISTANCE} group by 1, 2""",
+        "q_get_page": "select doc_id as uid, text as document from documents order by doc_id limit 50 offset 20",
+        "q_get_ids": "select doc_id::varchar as id, text as document from documents where doc_id in (3, 17, 5)",
+        "q_filter_missing": "select 0::bigint as n_ne, 0::bigint as n_nin",
+        "q_doc_contains": f"select doc_id as uid from documents where contains({_FOLD}, 'the')",
+        "q_doc_contains_escape": "select doc_id as uid from documents where contains(text, '%')",
+        "q_count": "select count(*) as n from documents",
+        "q_norm": "select vec_id as uid, round(sqrt(list_dot_product(v, v)), 5) as norm, round(v[1], 4) as first from (select vec_id, list_transform(embedding::double[], lambda x: x / sqrt(list_dot_product(embedding::double[], embedding::double[]))) as v from embeddings)",
+        "q_distance": f"select e.vec_id as uid, {_DIST} as distance from embeddings e cross join (select * from embeddings where vec_id = 0) as q",
+        "q_add": f"select * from ({_BASE}) union all select ordinal as uid, id, document from ({_BATCH}) where ordinal >= 100",
+        "q_upsert": f"select b.uid, b.id, coalesce(n.document, b.document) as document from ({_BASE}) b left join ({_BATCH}) n on n.id = b.id union all select ordinal, id, document from ({_BATCH}) where ordinal >= 100",
+        "q_upsert_dedup": f"select id, 'last' as document from ({_BATCH})",
+        "q_delete_where": "select doc_id as uid from documents where lang <> 'en'",
+        "q_delete_ids": "select doc_id as uid from documents where doc_id not in (1, 2, 3)",
+        "q_clear": "select 0::bigint as n",
+        "q_update_metadata": """select doc_id as uid, case when doc_id % 3 = 0 then '{"seen":1}' else '{"lang":"' || lang || '","source":"' || source || '","n_chars":' || n_chars || '}' end as metadata from documents""",
+        "q_update_document": "select doc_id as uid, case when doc_id % 5 = 0 then 'changed' else text end as document from documents",
+        "q_uid_alloc": "select doc_id as ordinal, 999 + row_number() over (order by doc_id) as new_uid from documents where doc_id % 2 = 0",
+        "q_reembed": "select doc_id as uid, round((n / sqrt(n * n + 7))::float::double, 4) as first from (select doc_id, length(substring(text, 1, 50))::double as n from documents where doc_id % 10 <> 0 and text <> '')",
+        "q_health": "select count(*) as n, count(distinct vec_id) as n_ids, min(len(embedding))::bigint as low, max(len(embedding))::bigint as high, count(*) filter (where embedding is null) as n_null from embeddings",
+    }
+    k = "(select event_id as uid, cast(json_extract(props, '$.k') as double) as k from events)"
+    out |= {name: f"select uid from {k} where {sql}" for name, (_, sql) in EVENT_FILTERS.items()}
+    return out | {name: f"select doc_id as uid from documents where {sql}" for name, (_, sql) in TEXT_FILTERS.items()}
