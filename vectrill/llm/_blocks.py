@@ -19,7 +19,7 @@ REQUEST = "shard int, block int, keys binary, extra binary"
 
 def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, n_blocks: int | None = None) -> DataFrame:
     """``docs`` (doc_id, text) with a ``block``, one block to a partition; equal rows share a block."""
-    n = n_blocks or parts_for(docs, block_bytes)
+    n = n_blocks or parts_for(docs.select("doc_id", "text"), block_bytes)
     return docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).repartition(n, "block")
 
 

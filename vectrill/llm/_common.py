@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A word is a maximal run of anything but ASCII white space.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
+#: Spark's size for what has none is the largest long.
+_UNKNOWN = 1 << 60
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
 
@@ -27,8 +29,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate (file bytes for a scan); no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes of the files below a plan, from Catalyst's statistics and without a job. Where a source doesn't know its
+    size (an RDD or a checkpoint), one aggregate counts the bytes of the text columns."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    if all(x < _UNKNOWN for x in sizes):
+        return sum(sizes)
+    text = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)).cast("long") for f in df.schema if f.dataType.simpleString() == "string"]
+    each = functools.reduce(lambda a, b: a + b, text, F.lit(16).cast("long"))
+    return int(df.agg(F.sum(each)).first()[0] or 0)
 
 
 def parts_for(df: DataFrame, bytes_each: int, least: int = 12) -> int:

@@ -102,7 +102,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     from pyspark.sql import functions as F
 
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), *[docs[c].alias(f"keep_{c}") for c in keep])
-    shards = n_shards or parts_for(docs, SHARD_BYTES)
+    shards = n_shards or parts_for(docs.select(id_col, text_col), SHARD_BYTES)
     kept_types = "".join(f", keep_{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
     blocks = in_blocks(source, n_blocks=n_blocks)
 
