@@ -15,6 +15,7 @@ from ._blocks import ask, in_blocks
 from ._common import only, parts_for
 
 SHARD_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 BACKOFF = 0.4
 #: The key under which a block sends its number of words; its count is the size of the corpus.
 _ALL = np.uint64(0x5D1C3E0F9A7B2468)
@@ -27,19 +28,24 @@ def _roll(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         return (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
 
 
-def ngrams(texts: list[str | None], order: int) -> tuple[list[np.ndarray], np.ndarray]:
+class _Memo(dict):
+    """Hashes of words, worked out once each."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = xxhash.xxh64_intdigest(word, 7) | 1
+        return value
+
+
+def ngrams(texts, order: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Hashes of the n-grams that end at each word, for n from 1 (0 where a text has no such n-gram yet), and the
-    number of words of each text."""
-    known: dict[bytes, int] = {}
-    flat, sizes = [], []
+    number of words of each text. ``texts`` yields strings or None."""
+    known = _Memo()
+    each = []
     for text in texts:
         words = (text or "").encode().lower().split()
-        sizes.append(len(words))
-        flat.extend(words)
-    for w in set(flat):
-        known[w] = xxhash.xxh64_intdigest(w, 7) | 1
-    one = np.fromiter(map(known.__getitem__, flat), np.uint64, len(flat))
-    sizes = np.array(sizes, np.int64)
+        each.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+    sizes = np.fromiter(map(len, each), np.int64, len(each))
+    one = np.concatenate(each) if each else np.zeros(0, np.uint64)
     place = np.arange(len(one)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     out = [one]
     for n in range(2, order + 1):
@@ -51,10 +57,12 @@ def ngrams(texts: list[str | None], order: int) -> tuple[list[np.ndarray], np.nd
     return out, sizes
 
 
-def _distinct(grams: list[np.ndarray], words: int) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = np.unique(np.concatenate([g[g != 0] for g in grams] + [np.array([_ALL])]), return_counts=True)
-    counts[np.searchsorted(keys, _ALL)] = words
-    return keys, counts
+def _distinct(grams: list[np.ndarray], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of all orders and that of the corpus size, how often each occurs, and where each n-gram's key is
+    (the orders end to end; an n-gram that isn't there has the first place, which is never read)."""
+    keys, at, counts = np.unique(np.concatenate([*grams, np.array([0, _ALL], np.uint64)]), return_inverse=True, return_counts=True)
+    counts[at[-1]] = words
+    return keys[1:], np.maximum(at - 1, 0), counts[1:]
 
 
 def score(docs: DataFrame, order: int = 2, min_count: int = 2, backoff: float = BACKOFF, id_col: str = "doc_id", text_col: str = "text", n_shards: int | None = None, n_blocks: int | None = None) -> DataFrame:
@@ -68,8 +76,8 @@ def score(docs: DataFrame, order: int = 2, min_count: int = 2, backoff: float =
     """
     import pyarrow as pa
 
-    shards = n_shards or parts_for(docs, SHARD_BYTES)
-    blocks = in_blocks(only(docs, doc_id=id_col, text=text_col), n_blocks=n_blocks)
+    shards = n_shards or parts_for(docs.select(id_col, text_col), SHARD_BYTES)
+    blocks = in_blocks(only(docs, doc_id=id_col, text=text_col), BLOCK_BYTES, n_blocks)
 
     def by_shard(keys):
         shard = (keys >> np.uint64(33)) % np.uint64(shards)
@@ -77,8 +85,8 @@ def score(docs: DataFrame, order: int = 2, min_count: int = 2, backoff: float =
         return order_, shard[order_]
 
     def request(table):
-        grams, sizes = ngrams(table.column("text").to_pylist(), order)
-        keys, counts = _distinct(grams, int(sizes.sum()))
+        grams, sizes = ngrams((t.as_py() for t in table.column("text")), order)
+        keys, _, counts = _distinct(grams, int(sizes.sum()))
         order_, shard = by_shard(keys)
         edges = np.nonzero(np.append(True, shard[1:] != shard[:-1]))[0]
         for a, b in zip(edges, np.append(edges[1:], len(shard)), strict=True):
@@ -95,18 +103,18 @@ def score(docs: DataFrame, order: int = 2, min_count: int = 2, backoff: float =
         return pa.table({"block": table.column("block"), "shard": table.column("shard"), "counts": pa.array(out, pa.binary())})
 
     def finish(left, right):
-        texts = left.column("text").to_pylist()
-        grams, sizes = ngrams(texts, order)
-        keys, _ = _distinct(grams, 0)
+        grams, sizes = ngrams((t.as_py() for t in left.column("text")), order)
+        keys, at, _ = _distinct(grams, 0)
         order_, shard = by_shard(keys)
         replies = dict(zip(right.column("shard").to_pylist(), right.column("counts").to_pylist(), strict=True))
         totals = np.zeros(len(keys), np.int64)
         totals[order_] = np.concatenate([np.frombuffer(replies[s], np.int64) for s in sorted(set(shard.tolist()))])
-        everything = totals[np.searchsorted(keys, _ALL)]
+        everything = totals[at[-1]]
         if len(grams[0]) == 0:
             sums = np.zeros(len(sizes))
         else:
-            counts = [np.where(g != 0, totals[np.minimum(np.searchsorted(keys, g), len(keys) - 1)], 0) for g in grams]
+            n_all = len(grams[0])
+            counts = [np.where(g != 0, totals[at[i * n_all : (i + 1) * n_all]], 0) for i, g in enumerate(grams)]
             logs = np.log(counts[0] / everything)
             for n in range(2, order + 1):
                 has = grams[n - 1] != 0
