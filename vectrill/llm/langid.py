@@ -28,15 +28,37 @@ def word_counts(text: str | None) -> Counter:
 
 def grams(word: str) -> np.ndarray:
     """Codes of all 1-, 2- and 3-grams of the padded word, without the lone space."""
-    c = np.frombuffer(f" {word} ".encode("utf-32-le"), np.uint32).astype(np.int64)
-    return np.concatenate([c[1:-1], c[:-1] << 21 | c[1:], c[:-2] << 42 | c[1:-1] << 21 | c[2:]])
+    return _gram_codes([word])[0]
+
+
+def _gram_codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of all words end to end, and how many each word has: words stand in one line with a space between, so
+    every pair of neighbours is some word's, and every three whose middle is a letter."""
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    c = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), np.uint32).astype(np.int64)
+    letter = c != 32
+    ends = np.cumsum(~letter) - 1
+    one = np.nonzero(letter)[0]
+    three = one - 1
+    codes = np.concatenate([c[one], c[:-1] << 21 | c[1:], c[three] << 42 | c[one] << 21 | c[three + 2]])
+    owner = np.concatenate([ends[one], ends[:-1], ends[one]])
+    order = np.argsort(owner, kind="stable")
+    return codes[order], np.bincount(owner, minlength=len(words))
 
 
 def _gram_table(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct codes in order, and for each word its grams' places in them (flat, with bounds)."""
-    each = [grams(w) for w in words]
-    codes, places = np.unique(np.concatenate(each) if each else np.zeros(0, np.int64), return_inverse=True)
-    return codes, places, np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
+    import pandas as pd
+
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
+    flat, sizes = _gram_codes(words)
+    places, codes = pd.factorize(flat)
+    order = np.argsort(codes)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return codes[order], rank[places], np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
 def fit(labelled: DataFrame, profile_size: int = PROFILE_SIZE) -> dict[str, np.ndarray]:
