@@ -210,7 +210,7 @@ def test_pipeline_stages(spark, tmp_path):
     before, after = seen["line_dedup"]
     assert before.count() == after.count()
     before, after = seen["simhash_near_dedup"]
-    groups = {r.component_id for r in simhash.near_duplicates(before, 5, 4, 7).collect()}
+    groups = {r.component_id for r in simhash.similar_documents(before, 5, 0.8).collect()}
     assert sorted(r.doc_id for r in after.select("doc_id").collect()) == sorted(groups)
     before, after = seen["packing"]
     assert {r.doc_id for r in after.select("doc_id").collect()} == {r.doc_id for r in before.select("doc_id").collect()}

@@ -109,13 +109,128 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_bits: int = 2,
     return marked.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Wide fingerprints: four longs, of which each holds six blocks of ten bits.
+WORDS, BLOCK_BITS, BLOCKS_EACH = 4, 10, 6
+#: Blocks are filed in pairs of this many places apart (72 pairs).
+APART = (1, 2, 3)
+#: Bits of the first long that a pair may differ in before the whole fingerprint is looked at.
+FIRST_BITS = 18
+
+
+def bits_for(similarity: float) -> int:
+    """Differing bits of a wide fingerprint to be expected at a Jaccard similarity of shingles, and half a deviation.
+
+    Sets of similarity s and equal size have cosine 2s / (1 + s); a bit differs with the angle's share of a half turn.
+    """
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    n = WORDS * BITS
+    return int(n * share + 0.5 * np.sqrt(n * share * (1 - share)))
+
+
+def wide_fingerprint(text: str | None, shingle_words: int = 5) -> np.ndarray:
+    """Majority of the bits of four hashes of each word shingle: ``WORDS`` unsigned longs."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(WORDS, np.uint64)
+    k = min(shingle_words, len(words))
+    hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), 42) for i in range(len(words) - k + 1)], np.uint64)
+    ones = np.zeros(WORDS * BITS, np.int64)
+    for i in range(0, len(hashes), 4096):
+        h = hashes[i : i + 4096]
+        wide = np.stack([h, *(_spread(h, n) for n in range(1, WORDS))], axis=1)
+        ones += np.unpackbits(wide.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
+
+
+def _spread(h: np.ndarray, n: int) -> np.ndarray:
+    """A further hash from the first, by splitmix64's finaliser."""
+    with np.errstate(over="ignore"):
+        x = h + np.uint64(n * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def _group_links(p, max_bits: int):
+    """Spanning links of one crowded bucket (or pair of its blocks): every pair is compared, few rows come back."""
+    import pandas as pd
+
+    from .embdedup import _merge_labels
+
+    p = p.sort_values("node")
+    nodes = p["node"].to_numpy()
+    f = np.stack([p[f"f{i}"].to_numpy() for i in range(WORDS)], axis=1).view(np.uint64)
+    labels = np.arange(len(nodes))
+    for i in range(0, len(nodes), 128):
+        close = np.bitwise_count(f[i : i + 128, None, :] ^ f[None, :, :]).sum(axis=2, dtype=np.int64) <= max_bits
+        a, b = np.nonzero(close)
+        other = labels[a + i] != labels[b]
+        if other.any():
+            labels = _merge_labels(labels, a[other] + i, b[other])
+    some = labels != np.arange(len(nodes))
+    return pd.DataFrame({"a": nodes[some], "b": nodes[labels[some]]})
+
+
+def similar_links(points: DataFrame, max_bits: int, bucket_limit: int = 64, block_rows: int = 1000) -> DataFrame:
+    """Links ``a, b`` between points (``node``, ``f0`` to ``f3``) at ``max_bits`` or fewer differing bits that share two
+    filed blocks. A crowded bucket is compared in pairs of blocks of bounded size and gives only spanning links."""
+    f = [F.col(f"f{i}") for i in range(WORDS)]
+    blocks = [F.call_function("shiftrightunsigned", x, F.lit(BLOCK_BITS * b)).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) for x in f for b in range(BLOCKS_EACH)]
+    choices = [(i, (i + d) % len(blocks)) for d in APART for i in range(len(blocks))]
+    keys = [(blocks[i] + blocks[j] * (1 << BLOCK_BITS) + n * (1 << 2 * BLOCK_BITS)).cast("int") for n, (i, j) in enumerate(choices)]
+    filed = points.select("node", "f0", F.explode(F.array(*keys)).alias("key"))
+    hot = cut(filed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_limit))
+    small = filed.join(hot, "key", "left_anti")
+    other = small.select("key", F.col("node").alias("b"), F.col("f0").alias("g0"))
+    near = (F.col("node") < F.col("b")) & (F.bit_count(F.col("f0").bitwiseXOR(F.col("g0"))) <= FIRST_BITS)
+    pairs = small.join(other, "key").where(near).select(F.col("node").alias("a"), "b").distinct()
+    left = points.select(F.col("node").alias("a"), *[x.alias(f"l{i}") for i, x in enumerate(f)])
+    right = points.select(F.col("node").alias("b"), *[x.alias(f"r{i}") for i, x in enumerate(f)])
+    away = sum((F.bit_count(F.col(f"l{i}").bitwiseXOR(F.col(f"r{i}"))) for i in range(1, WORDS)), F.bit_count(F.col("l0").bitwiseXOR(F.col("r0"))))
+    links = pairs.join(left, "a").join(right, "b").where(away <= max_bits).select("a", "b")
+    crowd = filed.select("node", "key").join(hot, "key").withColumn("parts", F.ceil(F.col("n") / block_rows).cast("int"))
+    crowd = crowd.withColumn("own", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    crowd = crowd.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node").join(points, "node")
+    spanning = crowd.select("key", "i", "j", "node", *f).groupBy("key", "i", "j").applyInPandas(lambda p: _group_links(p, max_bits), "a long, b long")
+    return links.union(spanning).distinct()
+
+
+def similar_documents(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, bucket_limit: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Groups of documents whose shingle sets are ``similarity`` alike or more, as 256-bit fingerprints tell:
+    ``doc_id, component_id``.
+
+    A similarity of 0.8 is some 39 differing bits, too many for blocks that every such pair must share; so the blocks
+    are small, filed in pairs, and a close pair is found with a probability (see the README for the measured share).
+    Equal fingerprints are always linked. Nulls, empty texts, repeated rows and empty tables as in
+    ``near_duplicates``.
+    """
+
+    def batch(b):
+        import pyarrow as pa
+
+        values = np.array([wide_fingerprint(t.as_py(), shingle_words) for t in b.column("text")]).reshape(-1, WORDS).view(np.int64)
+        columns = [b.column("doc_id"), *(pa.array(np.ascontiguousarray(values[:, i])) for i in range(WORDS))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", *(f"f{i}" for i in range(WORDS))])
+
+    names = [f"f{i}" for i in range(WORDS)]
+    id_type = docs.schema[id_col].dataType.simpleString()
+    marked = arrow_map(only(docs, doc_id=id_col, text=text_col), batch, f"doc_id {id_type}, " + ", ".join(f"{n} long" for n in names))
+    marked = cut(marked.withColumn("node", F.xxhash64(*names)))
+    points = cut(marked.groupBy("node").agg(*[F.first(n).alias(n) for n in names]))
+    parts = connected_components(similar_links(points, bits_for(similarity), bucket_limit))
+    rooted = points.select("node").join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("root"))
+    rooted = marked.groupBy("node").agg(F.min("doc_id").alias("low_id")).join(rooted, "node")
+    lowest = rooted.groupBy("root").agg(F.min("low_id").alias("component_id"))
+    return marked.select("doc_id", "node").join(rooted.join(lowest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
 def simhash_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near copies on shingles of five words, the row of the smallest id stays.
 
     Rows whose id is null stay (nothing else could name them); rows that repeat an id with the same text are one
     document, of which one row stays.
     """
-    groups = near_duplicates(docs, shingle_words=5, max_bits=4, n_blocks=7)
+    groups = similar_documents(docs, shingle_words=5, similarity=0.8)
     named = groups.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("times"))
     leave = cut(named.where("doc_id <> component_id or times > 1").select(F.col("doc_id").alias("gone_id"), (F.col("doc_id") == F.col("component_id")).alias("repeated")))
     out = docs.join(leave, docs["doc_id"] == F.col("gone_id"), "left")
