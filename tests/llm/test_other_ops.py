@@ -216,3 +216,54 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r.doc_id for r in after.select("doc_id").collect()} == {r.doc_id for r in before.select("doc_id").collect()}
     tables = spark.read.parquet(str(tmp_path / "4"))
     assert corpus_pipeline.run(spark, SF).count() == tables.count()
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty and long texts, repeats, a null id, clashing extra columns, and no rows at all."""
+    rng = random.Random(4)
+    words = [f"{a}{b}" for a in ("ba", "ce", "di", "fo") for b in ("rn", "st", "ll", "mp", "x")] + ["the", "of", "and", "to", "in", "is"]
+    good = [" ".join(rng.choice(words) for _ in range(120)) for _ in range(6)]
+    texts = [None, "", "  ", "short", *good, good[0], good[0] + " end", " ".join(rng.choice(words) for _ in range(30_000))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, block string, node long, key string, row string, score double"
+    rows = [(i, t, "en" if i % 2 else None, None, None, "b", 1, "k", "r", 0.5) for i, t in enumerate(texts)]
+    rows += [(None, good[1], None, None, None, None, None, None, None, None), rows[4], rows[4]]
+    for data in (rows, []):
+        docs = spark.createDataFrame(data, schema)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, "")
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes
+            out.collect()
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == (0 if not data else sum(len(packing_cuts(t)) for _, t, *_ in data))
+    docs = spark.createDataFrame(rows, schema)
+    kept = sorted((r.doc_id for r in corpus_pipeline.STAGES[3][1](spark, docs, "").collect()), key=repr)
+    assert kept == sorted([0, 3, 4, 5, 6, 7, 8, 9, 12, None], key=repr)
+
+
+def packing_cuts(text):
+    from vectrill.llm import packing
+
+    return packing.cuts(len(packing.encoder(packing.byte_bpe_path()).encode_ordinary(text or "")) + 1)
+
+
+def test_similar_documents(spark):
+    """Copies with a word in a hundred changed are found, other texts are left alone, in crowded buckets too."""
+    from vectrill.llm import simhash
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    texts, group = [], []
+    for g in range(40):
+        base = [rng.choice(words) for _ in range(300)]
+        for c in range(1 if g % 2 else 30 if g == 0 else 3):
+            copy = list(base)
+            for _ in range(3 if c else 0):
+                copy[rng.randrange(300)] = rng.choice(words)
+            texts.append(" ".join(copy))
+            group.append(g)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for limit in (2, 64):
+        got = {r.doc_id: r.component_id for r in simhash.similar_documents(df, bucket_limit=limit).collect()}
+        assert all(group[i] == group[c] for i, c in got.items())
+        assert sum(got[i] == group.index(group[i]) for i in got) >= 0.95 * len(texts)
+    assert simhash.bits_for(0.8) == 41
+    assert simhash.similar_documents(df.limit(0)).count() == 0

@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import matrix
 from ._common import connected_components, cut, only
 
 SAMPLE = 20_000
@@ -34,6 +35,12 @@ def unit(rows) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x.reshape(0, 1)
 
 
+def _unit_rows(column) -> np.ndarray:
+    x = matrix(column)
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(n == 0, 1.0, n)
+
+
 def centroids(sample: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     """Spherical k-means from evenly spaced rows of the sample."""
     c = sample[np.linspace(0, len(sample) - 1, k).astype(int)]
@@ -192,10 +199,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, overlap: int = 2
     points = marked.where("key is not null").groupBy("key", "key2").agg(F.min("vec_id").alias("low_id"), F.count(F.lit(1)).alias("times"), F.first("v").alias("v"))
     points = cut(points.withColumn("id", F.xxhash64("key", "key2")))
     n = points.count()
-    drawn = points.orderBy(F.xxhash64("id"), "id").limit(min(sample, n)).select("id", "v").collect()
+    table = points.orderBy(F.xxhash64("id"), "id").limit(min(sample, n)).select("id", "v").toArrow()
+    drawn = table.column("id").to_numpy(), _unit_rows(table.column("v"))
     while True:
         found = _components(points, n, drawn, threshold, overlap, shard_rows, block_rows)
-        recall = _audit(points, found, drawn[:AUDIT], threshold, n)
+        recall = _audit(points, found, drawn[0][:AUDIT], drawn[1][:AUDIT], threshold)
         if recall >= target_recall or overlap >= 16:
             break
         overlap *= 2
@@ -206,12 +214,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, overlap: int = 2
     return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"), F.lit(recall).alias("audit_recall"))
 
 
-def _components(points: DataFrame, n: int, drawn: list, threshold: float, overlap: int, shard_rows: int, block_rows: int) -> DataFrame:
+def _components(points: DataFrame, n: int, drawn: tuple, threshold: float, overlap: int, shard_rows: int, block_rows: int) -> DataFrame:
     """``points`` with ``root`` (a component's point) and ``links`` (other rows linked directly)."""
     import pandas as pd
 
-    k = max(1, min(MOST_CLUSTERS, n // shard_rows, len(drawn) // 4))
-    centres = centroids(unit(r[1] for r in drawn), k) if drawn else np.zeros((1, 1))
+    k = max(1, min(MOST_CLUSTERS, n // shard_rows, len(drawn[0]) // 4))
+    centres = centroids(drawn[1], k) if len(drawn[0]) else np.zeros((1, 1))
     spread = min(overlap, k)
 
     def deal(batches):
@@ -288,13 +296,12 @@ def _components(points: DataFrame, n: int, drawn: list, threshold: float, overla
     return cut(joined.select("id", "key", "key2", "low_id", "times", F.coalesce("component", "id").alias("root"), F.coalesce("links", F.col("times") - 1).alias("links")))
 
 
-def _audit(points: DataFrame, found: DataFrame, drawn: list, threshold: float, n: int) -> float:
+def _audit(points: DataFrame, found: DataFrame, ids: np.ndarray, x: np.ndarray, threshold: float) -> float:
     """Links of the drawn points that were found, of all that a comparison with every point finds."""
     import pandas as pd
 
-    if not drawn:
+    if not len(ids):
         return 1.0
-    ids, x = np.array([r[0] for r in drawn]), unit(r[1] for r in drawn)
 
     def compare(batches):
         for p in batches:
