@@ -46,6 +46,7 @@ def test_http(operations, tmp_path):
     try:
         at = {"db_path": str(tmp_path / "db"), "collection": "c"}
         assert call("/health") == (200, {"status": "ok"}) and call("/ready")[0] == 200
+        assert set(operations.routes) <= set(call("/openapi.json")[1]["paths"])
         assert call("/v1/upsert", at | {"items": [{"id": "a", "vector": [1.0] * 8}]}) == (200, {"count": 1})
         for _ in range(5):
             assert call("/v1/count", at) == (200, {"count": 1})

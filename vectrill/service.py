@@ -131,6 +131,20 @@ class Operations:
             return 503, {"status": "unavailable", "message": str(e)}
         return 200, {"status": "ready", "cache": self.handles.stats()}
 
+    def describe(self) -> tuple[int, dict]:
+        """An OpenAPI description of the routes."""
+        place = {"db_path": {"type": "string"}, "collection": {"type": "string"}}
+        item = {"type": "object", "required": ["id", "vector"], "properties": {"id": {"type": "string"}, "vector": {"type": "array", "items": {"type": "number"}}, "title": {"type": "string"}, "type": {"type": "string"}}}
+        more = {"/v1/upsert": {"items": {"type": "array", "items": item}}, "/v1/candidate_pairs": {"threshold": {"type": "number", "default": 0.15}, "k": {"type": "integer", "default": 6}}}
+        paths: dict = {}
+        for route, work in self.routes.items():
+            schema = {"type": "object", "required": list(place), "properties": place | more.get(route, {})}
+            codes = {"200": "the result", "400": "a bad request", "413": "a body beyond the limit", "429": "other writers came first", "500": "an unexpected error"}
+            paths[route] = {"post": {"summary": work.__name__, "requestBody": {"content": {"application/json": {"schema": schema}}}, "responses": {k: {"description": v} for k, v in codes.items()}}}
+        for route in ("/health", "/ready", "/openapi.json"):
+            paths[route] = {"get": {"responses": {"200": {"description": "ok"}}}}
+        return 200, {"openapi": "3.0.3", "info": {"title": "vectrill", "version": "1"}, "paths": paths}
+
     def post(self, route: str, length: int, read: Callable[[int], bytes]) -> tuple[int, dict]:
         def refuse(status: int, code: str, message: str) -> tuple[int, dict]:
             return status, {"error": {"code": code, "message": message, "status": status}}
@@ -197,7 +211,7 @@ class _Handler(BaseHTTPRequestHandler):
         self.wfile.write(data)
 
     def do_GET(self) -> None:
-        routes = {"/health": self.server.operations.health, "/ready": self.server.operations.ready}
+        routes = {"/health": self.server.operations.health, "/ready": self.server.operations.ready, "/openapi.json": self.server.operations.describe}
         self._reply(*(routes[self.path]() if self.path in routes else (404, {"error": {"code": "NOT_FOUND", "message": self.path, "status": 404}})))
 
     def do_POST(self) -> None:
