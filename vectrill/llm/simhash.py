@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, connected_components, cut, only
+from ._common import arrow_map, connected_components, cut, id_and, only
 
 BITS = 64
 
@@ -53,8 +53,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = 3, id_col: str = "doc_id"
         values = np.array([fingerprint(t.as_py(), shingle_words) for t in b.column("text")], np.uint64)
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(values.view(np.int64))], ["doc_id", "fp"])
 
-    id_type = docs.schema[id_col].dataType.simpleString()
-    return arrow_map(only(docs, doc_id=id_col, text=text_col), batch, f"doc_id {id_type}, fp long")
+    return arrow_map(only(docs, doc_id=id_col, text=text_col), batch, id_and(docs, id_col, "fp long"))
 
 
 def _masks(n_blocks: int, shared: int) -> list[int]:
@@ -152,28 +151,46 @@ def _spread(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def _group_links(p, max_bits: int):
-    """Spanning links of one crowded bucket (or pair of its blocks): every pair is compared, few rows come back."""
+    """Spanning links over the crowded buckets of a bin (or a pair of blocks of one bucket): every pair of a bucket is
+    compared, and at most one row a point comes back."""
     import pandas as pd
 
     from .embdedup import _merge_labels
 
-    p = p.sort_values("node")
-    nodes = p["node"].to_numpy()
+    p = p.sort_values(["key", "node"])
+    nodes, at = np.unique(p["node"].to_numpy(), return_inverse=True)
     f = np.stack([p[f"f{i}"].to_numpy() for i in range(WORDS)], axis=1).view(np.uint64)
-    labels = np.arange(len(nodes))
-    for i in range(0, len(nodes), 128):
-        close = np.bitwise_count(f[i : i + 128, None, :] ^ f[None, :, :]).sum(axis=2, dtype=np.int64) <= max_bits
-        a, b = np.nonzero(close)
-        other = labels[a + i] != labels[b]
-        if other.any():
-            labels = _merge_labels(labels, a[other] + i, b[other])
+    keys = p["key"].to_numpy()
+    starts = np.nonzero(np.append(True, keys[1:] != keys[:-1]))[0]
+    labels, waiting, held = np.arange(len(nodes)), [], 0
+
+    def merge():
+        nonlocal labels, waiting, held
+        if waiting:
+            labels = _merge_labels(labels, np.concatenate([x for x, _ in waiting]), np.concatenate([y for _, y in waiting]))
+        waiting, held = [], 0
+
+    for start, end in zip(starts, np.append(starts[1:], len(keys)), strict=True):
+        for i in range(start, end, 128):
+            rows = f[i : min(i + 128, end)]
+            close = np.bitwise_count(rows[:, None, :] ^ f[None, start:end, :]).sum(axis=2, dtype=np.int64) <= max_bits
+            a, b = np.nonzero(close)
+            a, b = at[a + i], at[b + start]
+            other = labels[a] != labels[b]
+            if other.any():
+                waiting.append((a[other], b[other]))
+                held += int(other.sum())
+        if held > 100_000:
+            merge()
+    merge()
     some = labels != np.arange(len(nodes))
     return pd.DataFrame({"a": nodes[some], "b": nodes[labels[some]]})
 
 
-def similar_links(points: DataFrame, max_bits: int, bucket_limit: int = 64, block_rows: int = 1000) -> DataFrame:
+def similar_links(points: DataFrame, max_bits: int, bucket_limit: int = 8, block_rows: int = 1000, bin_rows: int = 20_000) -> DataFrame:
     """Links ``a, b`` between points (``node``, ``f0`` to ``f3``) at ``max_bits`` or fewer differing bits that share two
-    filed blocks. A crowded bucket is compared in pairs of blocks of bounded size and gives only spanning links."""
+    filed blocks. Buckets of up to ``bucket_limit`` are joined with themselves. Crowded ones are compared by numpy, many
+    in a bin of bounded size (the largest in pairs of blocks), and give only spanning links."""
     f = [F.col(f"f{i}") for i in range(WORDS)]
     blocks = [F.call_function("shiftrightunsigned", x, F.lit(BLOCK_BITS * b)).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) for x in f for b in range(BLOCKS_EACH)]
     choices = [(i, (i + d) % len(blocks)) for d in APART for i in range(len(blocks))]
@@ -188,14 +205,16 @@ def similar_links(points: DataFrame, max_bits: int, bucket_limit: int = 64, bloc
     right = points.select(F.col("node").alias("b"), *[x.alias(f"r{i}") for i, x in enumerate(f)])
     away = sum((F.bit_count(F.col(f"l{i}").bitwiseXOR(F.col(f"r{i}"))) for i in range(1, WORDS)), F.bit_count(F.col("l0").bitwiseXOR(F.col("r0"))))
     links = pairs.join(left, "a").join(right, "b").where(away <= max_bits).select("a", "b")
+    bins = int((hot.agg(F.sum("n")).first()[0] or 0) // bin_rows) + 1
     crowd = filed.select("node", "key").join(hot, "key").withColumn("parts", F.ceil(F.col("n") / block_rows).cast("int"))
     crowd = crowd.withColumn("own", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    crowd = crowd.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node").join(points, "node")
-    spanning = crowd.select("key", "i", "j", "node", *f).groupBy("key", "i", "j").applyInPandas(lambda p: _group_links(p, max_bits), "a long, b long")
+    bin_ = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("key"), F.lit(bins))).otherwise(F.col("key").cast("long") + bins)
+    crowd = crowd.select(bin_.alias("bin"), "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node").join(points, "node")
+    spanning = crowd.select("bin", "i", "j", "key", "node", *f).groupBy("bin", "i", "j").applyInPandas(lambda p: _group_links(p, max_bits), "a long, b long")
     return links.union(spanning).distinct()
 
 
-def similar_documents(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, bucket_limit: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, bucket_limit: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of documents whose shingle sets are ``similarity`` alike or more, as 256-bit fingerprints tell:
     ``doc_id, component_id``.
 
@@ -213,8 +232,7 @@ def similar_documents(docs: DataFrame, shingle_words: int = 5, similarity: float
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", *(f"f{i}" for i in range(WORDS))])
 
     names = [f"f{i}" for i in range(WORDS)]
-    id_type = docs.schema[id_col].dataType.simpleString()
-    marked = arrow_map(only(docs, doc_id=id_col, text=text_col), batch, f"doc_id {id_type}, " + ", ".join(f"{n} long" for n in names))
+    marked = arrow_map(only(docs, doc_id=id_col, text=text_col), batch, id_and(docs, id_col, ", ".join(f"{n} long" for n in names)))
     marked = cut(marked.withColumn("node", F.xxhash64(*names)))
     points = cut(marked.groupBy("node").agg(*[F.first(n).alias(n) for n in names]))
     parts = connected_components(similar_links(points, bits_for(similarity), bucket_limit))
@@ -233,7 +251,7 @@ def simhash_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = similar_documents(docs, shingle_words=5, similarity=0.8)
     named = groups.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("times"))
     leave = cut(named.where("doc_id <> component_id or times > 1").select(F.col("doc_id").alias("gone_id"), (F.col("doc_id") == F.col("component_id")).alias("repeated")))
-    out = docs.join(leave, docs["doc_id"] == F.col("gone_id"), "left")
-    once = out.where("gone_id is null").select(*[docs[c] for c in docs.columns])
-    again = out.where("repeated").select(*[docs[c] for c in docs.columns]).dropDuplicates(["doc_id"])
+    out = docs.join(leave, docs["doc_id"] == leave["gone_id"], "left")
+    once = out.where(leave["gone_id"].isNull()).select(*[docs[f"`{c}`"] for c in docs.columns])
+    again = out.where(leave["repeated"]).select(*[docs[f"`{c}`"] for c in docs.columns]).dropDuplicates(["doc_id"])
     return once.unionByName(again)
