@@ -224,7 +224,7 @@ def test_stages_on_odd_rows(spark):
     words = [f"{a}{b}" for a in ("ba", "ce", "di", "fo") for b in ("rn", "st", "ll", "mp", "x")] + ["the", "of", "and", "to", "in", "is"]
     good = [" ".join(rng.choice(words) for _ in range(120)) for _ in range(6)]
     texts = [None, "", "  ", "short", *good, good[0], good[0] + " end", " ".join(rng.choice(words) for _ in range(30_000))]
-    schema = "doc_id long, text string, lang string, source string, n_chars long, block string, node long, key string, row string, score double"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, `a b` string, repeated long, gone_id string, row string, score double"
     rows = [(i, t, "en" if i % 2 else None, None, None, "b", 1, "k", "r", 0.5) for i, t in enumerate(texts)]
     rows += [(None, good[1], None, None, None, None, None, None, None, None), rows[4], rows[4]]
     for data in (rows, []):

@@ -7,6 +7,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a maximal run of anything but ASCII white space.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -50,7 +51,12 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[old].alias(new) for new, old in columns.items()])
 
 
-def arrow_map(df: DataFrame, batch, schema: str, *args) -> DataFrame:
+def id_and(df: DataFrame, id_col: str, rest: str) -> T.StructType:
+    """A result's schema: ``doc_id`` of the input's own type (whatever it and its fields are called), and ``rest``."""
+    return T.StructType([T.StructField("doc_id", df.schema[id_col].dataType), *T.StructType.fromDDL(rest).fields])
+
+
+def arrow_map(df: DataFrame, batch, schema, *args) -> DataFrame:
     """``mapInArrow`` with ``batch(record_batch, *args) -> iterator of record batches``, a few MB at a time."""
 
     def run(batches):

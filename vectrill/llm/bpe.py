@@ -15,7 +15,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from ._common import arrow_map, only
+from ._common import arrow_map, id_and, only
 from .packing import byte_characters
 
 _NONE = np.iinfo(np.int64).max
@@ -181,8 +181,7 @@ def encode(docs: DataFrame, tokenizer_path: str, with_ids: bool = True, id_col:
             columns |= {"ids": pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), "decoded": pa.array(decoded, pa.string())}
         yield pa.RecordBatch.from_pydict(columns)
 
-    id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
+    schema = id_and(docs, id_col, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids)
     return arrow_map(only(docs, doc_id=id_col, text=text_col), batch, schema, tokenizer_path)
 
 

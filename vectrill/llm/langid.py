@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, cut, only
+from ._common import arrow_map, cut, id_and, only
 
 PROFILE_SIZE = 300
 MIN_SCORE = 0.05
@@ -129,8 +129,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], profile_size: int
             scores.append(1.0 - float(away[best]) / (profile_size * len(top)))
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    id_type = docs.schema[id_col].dataType.simpleString()
-    return arrow_map(only(docs, doc_id=id_col, text=text_col), batch, f"doc_id {id_type}, lang_pred string, score double", langs, ranked)
+    return arrow_map(only(docs, doc_id=id_col, text=text_col), batch, id_and(docs, id_col, "lang_pred string, score double"), langs, ranked)
 
 
 def held_out(doc_id) -> F.Column:
@@ -151,10 +150,9 @@ def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     langs = [x for x in sorted(profiles) if len(profiles[x])]
     if not langs:
         return docs.where(F.regexp_like("text", F.lit(r"\p{L}")))
-    rest = [c for c in docs.columns if c != "text"]
     carried = docs.select(F.struct("*").alias("row"), F.col("text"))
     marked = predict_rows(carried, profiles)
-    return marked.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*[F.col(f"row.{c}") for c in docs.columns]) if rest else docs
+    return marked.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def predict_rows(carried: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from ._blocks import ask, in_blocks
-from ._common import SPACE_BYTES, only, parts_for
+from ._common import SPACE_BYTES, id_and, only, parts_for
 
 SHARD_BYTES = 24 << 20
 _GAMMA = 1.6
@@ -101,9 +101,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     import pyarrow as pa
     from pyspark.sql import functions as F
 
-    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), *[docs[c].alias(f"keep_{c}") for c in keep])
+    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), *[docs[f"`{c}`"].alias(f"keep_{c}") for c in keep])
     shards = n_shards or parts_for(docs.select(id_col, text_col), SHARD_BYTES)
-    kept_types = "".join(f", keep_{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
     blocks = in_blocks(source, n_blocks=n_blocks)
 
     def wanted(key: bytes) -> bool:
@@ -173,8 +172,9 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
             | {f"keep_{c}": left.column(f"keep_{c}") for c in keep}
         )
 
-    id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {id_type}, n_lines long, n_dropped long, kept_sha256 string{', kept_text string' * with_text}{kept_types}"
+    schema = id_and(docs, id_col, "n_lines long, n_dropped long, kept_sha256 string" + ", kept_text string" * with_text)
+    for c in keep:
+        schema = schema.add(f"keep_{c}", docs.schema[c].dataType)
     return ask(blocks, request, answer, "hot binary", finish, schema)
 
 
@@ -185,4 +185,4 @@ def line_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     out = dedup_lines(docs, keep=rest)
     columns = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return out.select(*[columns.get(c, F.col(f"keep_{c}" if c in rest else c)).alias(c) for c in docs.columns])
+    return out.select(*[columns.get(c, F.col(f"`keep_{c}`" if c in rest else c)).alias(c) for c in docs.columns])

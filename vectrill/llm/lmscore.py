@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from ._blocks import ask, in_blocks
-from ._common import only, parts_for
+from ._common import id_and, only, parts_for
 
 SHARD_BYTES = 6 << 20
 BLOCK_BYTES = 4 << 20
@@ -127,5 +127,4 @@ def score(docs: DataFrame, order: int = 2, min_count: int = 2, backoff: float =
         mean = [float(s / n) if n else None for s, n in zip(sums.tolist(), sizes.tolist(), strict=True)]
         return pa.table({"doc_id": left.column("doc_id"), "n_words": pa.array(sizes, pa.int64()), "score": pa.array(mean, pa.float64())})
 
-    id_type = docs.schema[id_col].dataType.simpleString()
-    return ask(blocks, request, answer, "shard int, counts binary", finish, f"doc_id {id_type}, n_words long, score double")
+    return ask(blocks, request, answer, "shard int, counts binary", finish, id_and(docs, id_col, "n_words long, score double"))

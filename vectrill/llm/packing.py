@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, only
+from ._common import arrow_map, id_and, only
 
 MAX_TOKENS = 2048
 END = "<|endoftext|>"
@@ -94,8 +94,7 @@ def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, end
             names.append("ids")
         yield pa.RecordBatch.from_arrays(columns, names)
 
-    id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
+    schema = id_and(docs, id_col, "start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
     pieces = arrow_map(only(docs, doc_id=id_col, text=text_col), batch, schema, tokenizer_path)
     pieces = pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     return pieces.withColumn("bucket", F.log2("length").cast("int"))

@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import arrow_map, cut, only
 
@@ -109,7 +110,7 @@ def shard(docs: DataFrame, n_shards: int = 40, tolerance: float = 0.002, part_by
         yield pa.RecordBatch.from_arrays([*b.columns, *extra], [*b.schema.names, "part", "shard", "base"])
 
     rows = wide if keep_text else keys
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", part int, shard int, base long"
+    schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL("part int, shard int, base long").fields])
     placed = arrow_map(rows, place, schema, starts, shard_of, base)
     unsigned = F.col("key").bitwiseXOR(F.lit(-(1 << 63)))
     rank = F.row_number().over(W.partitionBy("part").orderBy(unsigned, "doc_id")) - 1
