@@ -187,7 +187,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, overlap: int = 2
 
     A null, zero or non-finite vector links with nothing and is its own component; so is a vector of another width
     than the first. Equal vectors are linked. Centroids and the audit use bounded samples (``sample`` and 200 vectors,
-    by the smallest hash of the id); every vector is indexed, searched for and counted. Null ids don't name a component
+    by the smallest hash of the id); every vector is indexed, searched for and counted. ``audit_recall`` is the share of
+    the audited vectors' links that was found; the overlap is doubled up to 16 while it is below ``target_recall``. Null ids don't name a component
     unless it has no other. An empty table gives an empty table.
     """
     rows = only(vectors, vec_id=id_col, v=vector_col).withColumn("good", usable(F.col("v")))

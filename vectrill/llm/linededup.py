@@ -35,6 +35,11 @@ def _mix(h: np.ndarray, seed: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def _spot(low: np.ndarray, high: np.ndarray, level: int, size: int) -> np.ndarray:
+    """A key's position at a level. Both halves are mixed anew, so keys that meet at one level part at the next."""
+    return (_mix(_mix(low, level) ^ high, level) % np.uint64(size)).astype(np.int64)
+
+
 class LineIndex:
     """Minimal perfect hash over distinct 128-bit keys, with a fingerprint and a count for each slot.
 
@@ -47,13 +52,13 @@ class LineIndex:
         left, base = np.arange(len(low)), 0
         while len(left):
             size = max(64, int(_GAMMA * len(left)) + 63 & ~63)
-            at = _mix(low[left] ^ (high[left] << np.uint64(1)), len(self.levels)) % np.uint64(size)
-            times = np.bincount(at.astype(np.int64), minlength=size)
+            at = _spot(low[left], high[left], len(self.levels), size)
+            times = np.bincount(at, minlength=size)
             words = np.packbits(times == 1, bitorder="little").view(np.uint64)
             ranks = base + np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])
             self.levels.append((size, words, ranks))
             base = int(ranks[-1])
-            left = left[times[at.astype(np.int64)] != 1]
+            left = left[times[at] != 1]
         slots = self.slots(low, high)
         self.fingerprints = np.zeros(base, np.uint32)
         self.counts = np.zeros(base, np.int64)
@@ -64,7 +69,7 @@ class LineIndex:
         """Slot of each key; -1 for one that reaches no set bit."""
         out, left = np.full(len(low), -1, np.int64), np.arange(len(low))
         for n, (size, words, ranks) in enumerate(self.levels):
-            at = (_mix(low[left] ^ (high[left] << np.uint64(1)), n) % np.uint64(size)).astype(np.int64)
+            at = _spot(low[left], high[left], n, size)
             word, bit = words[at >> 6], (at & 63).astype(np.uint64)
             hit = (word >> bit) & np.uint64(1) == 1
             below = word & ((np.uint64(1) << bit) - np.uint64(1))
