@@ -108,31 +108,35 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_bits: int = 2,
     return marked.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Wide fingerprints: four longs, of which each holds six blocks of ten bits.
-WORDS, BLOCK_BITS, BLOCKS_EACH = 4, 10, 6
-#: Blocks are filed in pairs of this many places apart (72 pairs).
-APART = (1, 2, 3)
-#: Bits of the first long that a pair may differ in before the whole fingerprint is looked at.
-FIRST_BITS = 18
+#: Wide fingerprints: four longs.
+WORDS = 4
+#: Pairs whose bits differ by this many deviations more than expected are not looked at further.
+DEVIATIONS = 6
+#: Texts with fewer shingles are compared whatever their bits, as the expectation holds for many shingles only.
+MIN_SHINGLES = 64
 
 
-def bits_for(similarity: float) -> int:
-    """Differing bits of a wide fingerprint to be expected at a Jaccard similarity of shingles, and half a deviation.
+def bits_for(similarity: float, deviations: float = 0.5, n: int = WORDS * BITS) -> int:
+    """Differing bits of ``n`` to be expected at a Jaccard similarity of shingles, and some deviations (half a one).
 
-    Sets of similarity s and equal size have cosine 2s / (1 + s); a bit differs with the angle's share of a half turn.
+    Sets of similarity s and equal size have cosine 2s / (1 + s), others more; a bit differs with the angle's share of a
+    half turn.
     """
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    n = WORDS * BITS
-    return int(n * share + 0.5 * np.sqrt(n * share * (1 - share)))
+    return int(n * share + deviations * np.sqrt(n * share * (1 - share)))
 
 
-def wide_fingerprint(text: str | None, shingle_words: int = 5) -> np.ndarray:
-    """Majority of the bits of four hashes of each word shingle: ``WORDS`` unsigned longs."""
+def shingles(text: str | None, shingle_words: int = 5) -> np.ndarray:
+    """The distinct XXH64 hashes of a text's word shingles, in order."""
     words = (text or "").encode().lower().split()
     if not words:
-        return np.zeros(WORDS, np.uint64)
+        return np.zeros(0, np.uint64)
     k = min(shingle_words, len(words))
-    hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), 42) for i in range(len(words) - k + 1)], np.uint64)
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), 42) for i in range(len(words) - k + 1)], np.uint64))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """Majority of the bits of four hashes of each distinct shingle: ``WORDS`` unsigned longs."""
     ones = np.zeros(WORDS * BITS, np.int64)
     for i in range(0, len(hashes), 4096):
         h = hashes[i : i + 4096]
@@ -150,92 +154,128 @@ def _spread(h: np.ndarray, n: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _group_links(p, max_bits: int):
-    """Spanning links over the crowded buckets of a bin (or a pair of blocks of one bucket): every pair of a bucket is
-    compared, and at most one row a point comes back."""
-    import pandas as pd
+def _node(hashes: np.ndarray) -> int:
+    """One number for a set of shingles."""
+    return xxhash.xxh64_intdigest(hashes.tobytes(), 11)
 
-    from .embdedup import _merge_labels
 
-    p = p.sort_values(["key", "node"])
-    nodes, at = np.unique(p["node"].to_numpy(), return_inverse=True)
-    f = np.stack([p[f"f{i}"].to_numpy() for i in range(WORDS)], axis=1).view(np.uint64)
-    keys = p["key"].to_numpy()
-    starts = np.nonzero(np.append(True, keys[1:] != keys[:-1]))[0]
-    labels, waiting, held = np.arange(len(nodes)), [], 0
-
-    def merge():
-        nonlocal labels, waiting, held
-        if waiting:
-            labels = _merge_labels(labels, np.concatenate([x for x, _ in waiting]), np.concatenate([y for _, y in waiting]))
-        waiting, held = [], 0
+def _first(hashes: np.ndarray, similarity: float) -> np.ndarray:
+    """The lowest shingles, of which any two sets that are ``similarity`` alike share one."""
+    n = len(hashes)
+    return hashes[: n - int(np.ceil(similarity * n - 1e-9)) + 1].view(np.int64)
+
 
+def _group_links(p, q, similarity: float, max_bits: int):
+    """Spanning links over the crowded buckets of a bin (or a pair of blocks of a large one): ``p`` has the buckets'
+    members, ``q`` the points. Members that aren't linked yet are compared by their whole sets."""
+    import pandas as pd
+
+    q = q.sort_values("node")
+    nodes = q["node"].to_numpy()
+    sets = [np.asarray(x, np.int64).view(np.uint64) for x in q["shingles"]]
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    f = np.stack([q[f"f{i}"].to_numpy() for i in range(WORDS)], axis=1).view(np.uint64)
+    p = p.sort_values(["key", "node"])
+    keys, at = p["key"].to_numpy(), np.searchsorted(nodes, p["node"].to_numpy())
+    starts = np.nonzero(np.append(True, keys[1:] != keys[:-1]))[0] if len(keys) else []
+    labels = np.arange(len(nodes))
     for start, end in zip(starts, np.append(starts[1:], len(keys)), strict=True):
-        for i in range(start, end, 128):
-            rows = f[i : min(i + 128, end)]
-            close = np.bitwise_count(rows[:, None, :] ^ f[None, start:end, :]).sum(axis=2, dtype=np.int64) <= max_bits
-            a, b = np.nonzero(close)
-            a, b = at[a + i], at[b + start]
-            other = labels[a] != labels[b]
-            if other.any():
-                waiting.append((a[other], b[other]))
-                held += int(other.sum())
-        if held > 100_000:
-            merge()
-    merge()
-    some = labels != np.arange(len(nodes))
-    return pd.DataFrame({"a": nodes[some], "b": nodes[labels[some]]})
-
-
-def similar_links(points: DataFrame, max_bits: int, bucket_limit: int = 8, block_rows: int = 1000, bin_rows: int = 20_000) -> DataFrame:
-    """Links ``a, b`` between points (``node``, ``f0`` to ``f3``) at ``max_bits`` or fewer differing bits that share two
-    filed blocks. Buckets of up to ``bucket_limit`` are joined with themselves. Crowded ones are compared by numpy, many
-    in a bin of bounded size (the largest in pairs of blocks), and give only spanning links."""
-    f = [F.col(f"f{i}") for i in range(WORDS)]
-    blocks = [F.call_function("shiftrightunsigned", x, F.lit(BLOCK_BITS * b)).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) for x in f for b in range(BLOCKS_EACH)]
-    choices = [(i, (i + d) % len(blocks)) for d in APART for i in range(len(blocks))]
-    keys = [(blocks[i] + blocks[j] * (1 << BLOCK_BITS) + n * (1 << 2 * BLOCK_BITS)).cast("int") for n, (i, j) in enumerate(choices)]
-    filed = points.select("node", "f0", F.explode(F.array(*keys)).alias("key"))
-    hot = cut(filed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_limit))
+        members = at[start:end]
+        for i, a in enumerate(members[:-1]):
+            rest = members[i + 1 :]
+            rest = rest[labels[rest] != labels[a]]
+            low, high = np.minimum(n[rest], n[a]), np.maximum(n[rest], n[a])
+            rest = rest[(low >= similarity * high - 1e-9) & ((low < MIN_SHINGLES) | (np.bitwise_count(f[rest] ^ f[a]).sum(axis=1, dtype=np.int64) <= max_bits))]
+            while len(rest):
+                some = rest[:64]
+                flat = np.concatenate([sets[b] for b in some])
+                place = np.minimum(np.searchsorted(sets[a], flat), n[a] - 1)
+                common = np.add.reduceat((sets[a][place] == flat).astype(np.int64), np.cumsum(n[some]) - n[some])
+                hits = some[common >= similarity * (n[a] + n[some] - common) - 1e-9]
+                if len(hits):
+                    labels[np.isin(labels, labels[hits])] = labels[a]
+                rest = rest[64:]
+                rest = rest[labels[rest] != labels[a]]
+    linked = labels != np.arange(len(nodes))
+    return pd.DataFrame({"a": nodes[linked], "b": nodes[labels[linked]]})
+
+
+def similar_links(points: DataFrame, sets_of, similarity: float, bucket_limit: int = 8, block_rows: int = 1000, bin_rows: int = 20_000) -> DataFrame:
+    """Links ``a, b`` that join the same groups as all pairs of points whose Jaccard similarity is ``similarity`` or more.
+
+    ``points`` has ``node``, ``n`` (size of its set), ``f0`` to ``f3`` and ``first``, the shingles under which it is filed;
+    ``sets_of(nodes)`` gives ``node, shingles`` for the nodes that are asked for. Whoever shares a bucket and is near
+    enough by size, place in the order and fingerprint is compared by the whole sets. Buckets of up to ``bucket_limit``
+    are joined with themselves. Crowded ones go to bins by their lowest member, so that copies that share many buckets
+    meet once (the largest in pairs of blocks), and give only spanning links.
+    """
+    max_bits, first_bits = bits_for(similarity, DEVIATIONS), bits_for(similarity, DEVIATIONS, BITS)
+    filed = points.select("node", "f0", "n", F.posexplode("first").alias("place", "key"))
+    hot = cut(filed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("leader")).where(F.col("members") > bucket_limit))
     small = filed.join(hot, "key", "left_anti")
-    other = small.select("key", F.col("node").alias("b"), F.col("f0").alias("g0"))
-    near = (F.col("node") < F.col("b")) & (F.bit_count(F.col("f0").bitwiseXOR(F.col("g0"))) <= FIRST_BITS)
-    pairs = small.join(other, "key").where(near).select(F.col("node").alias("a"), "b").distinct()
-    left = points.select(F.col("node").alias("a"), *[x.alias(f"l{i}") for i, x in enumerate(f)])
-    right = points.select(F.col("node").alias("b"), *[x.alias(f"r{i}") for i, x in enumerate(f)])
+    other = small.select("key", *[F.col(x).alias(f"{x}_b") for x in ("node", "f0", "n", "place")])
+    low = F.least("n", "n_b")
+    # A pair's first common shingle leaves room for all that it must share.
+    room = F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b")) >= (F.col("n") + F.col("n_b")) * (similarity / (1 + similarity)) - 1e-9
+    near = (F.col("node") < F.col("node_b")) & room & ((low < MIN_SHINGLES) | (F.bit_count(F.col("f0").bitwiseXOR(F.col("f0_b"))) <= first_bits))
+    pairs = small.join(other, "key").where(near).select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+    f = [F.col(f"f{i}") for i in range(WORDS)]
+    left = points.select(F.col("node").alias("a"), F.col("n").alias("n_a"), *[x.alias(f"l{i}") for i, x in enumerate(f)])
+    right = points.select(F.col("node").alias("b"), F.col("n").alias("n_b"), *[x.alias(f"r{i}") for i, x in enumerate(f)])
     away = sum((F.bit_count(F.col(f"l{i}").bitwiseXOR(F.col(f"r{i}"))) for i in range(1, WORDS)), F.bit_count(F.col("l0").bitwiseXOR(F.col("r0"))))
-    links = pairs.join(left, "a").join(right, "b").where(away <= max_bits).select("a", "b")
-    bins = int((hot.agg(F.sum("n")).first()[0] or 0) // bin_rows) + 1
-    crowd = filed.select("node", "key").join(hot, "key").withColumn("parts", F.ceil(F.col("n") / block_rows).cast("int"))
+    pairs = cut(pairs.join(left, "a").join(right, "b").where((F.least("n_a", "n_b") < MIN_SHINGLES) | (away <= max_bits)).select("a", "b", "n_a", "n_b"))
+
+    leaders = hot.groupBy("leader").agg(F.max("members").alias("most"), F.sum("members").alias("rows"))
+    bins = int((leaders.agg(F.sum("rows")).first()[0] or 0) // bin_rows) + 1
+    crowd = filed.select("node", "key").join(hot.select("key", "leader"), "key").join(leaders.select("leader", F.ceil(F.col("most") / block_rows).cast("int").alias("parts")), "leader")
     crowd = crowd.withColumn("own", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    bin_ = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("key"), F.lit(bins))).otherwise(F.col("key").cast("long") + bins)
-    crowd = crowd.select(bin_.alias("bin"), "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node").join(points, "node")
-    spanning = crowd.select("bin", "i", "j", "key", "node", *f).groupBy("bin", "i", "j").applyInPandas(lambda p: _group_links(p, max_bits), "a long, b long")
+    bin_ = F.when(F.col("parts") == 1, F.struct(F.lit(0).alias("large"), F.pmod(F.xxhash64("leader"), F.lit(bins)).alias("bin"))).otherwise(F.struct(F.lit(1).alias("large"), F.col("leader").alias("bin")))
+    crowd = crowd.select(bin_.alias("at"), "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node")
+    crowd = cut(crowd.select("at.large", "at.bin", "i", "j", "key", "node"))
+
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowd.select("node")).distinct()
+    sets = cut(sets_of(asked))
+    x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s_a")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("s_b"))
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", F.size(F.array_intersect("s_a", "s_b")).alias("common"))
+    links = both.where(F.col("common") >= similarity * (F.col("n_a") + F.col("n_b") - F.col("common")) - 1e-9).select("a", "b")
+    where = ("large", "bin", "i", "j")
+    known = crowd.select(*[F.col(c).alias(f"of_{c}") for c in where], F.col("node").alias("node")).distinct().join(sets, "node").join(points.select("node", *f), "node")
+    spanning = crowd.groupBy(*where).cogroup(known.groupBy(*[f"of_{c}" for c in where])).applyInPandas(lambda p, q: _group_links(p, q, similarity, max_bits), "a long, b long")
     return links.union(spanning).distinct()
 
 
 def similar_documents(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, bucket_limit: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Groups of documents whose shingle sets are ``similarity`` alike or more, as 256-bit fingerprints tell:
+    """Groups of documents linked by a Jaccard similarity of their shingle sets of ``similarity`` or more:
     ``doc_id, component_id``.
 
-    A similarity of 0.8 is some 39 differing bits, too many for blocks that every such pair must share; so the blocks
-    are small, filed in pairs, and a close pair is found with a probability (see the README for the measured share).
-    Equal fingerprints are always linked. Nulls, empty texts, repeated rows and empty tables as in
-    ``near_duplicates``.
+    Every such pair shares one of the lowest shingles of either set, so filing under these loses none; 256-bit
+    fingerprints with ``DEVIATIONS`` to spare sift the pairs that meet, and each link is confirmed by the whole sets.
+    Equal sets are always linked. Nulls, empty texts, repeated rows and empty tables as in ``near_duplicates``.
     """
-
-    def batch(b):
-        import pyarrow as pa
-
-        values = np.array([wide_fingerprint(t.as_py(), shingle_words) for t in b.column("text")]).reshape(-1, WORDS).view(np.int64)
-        columns = [b.column("doc_id"), *(pa.array(np.ascontiguousarray(values[:, i])) for i in range(WORDS))]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", *(f"f{i}" for i in range(WORDS))])
+    import pyarrow as pa
 
     names = [f"f{i}" for i in range(WORDS)]
-    marked = arrow_map(only(docs, doc_id=id_col, text=text_col), batch, id_and(docs, id_col, ", ".join(f"{n} long" for n in names)))
-    marked = cut(marked.withColumn("node", F.xxhash64(*names)))
-    points = cut(marked.groupBy("node").agg(*[F.first(n).alias(n) for n in names]))
-    parts = connected_components(similar_links(points, bits_for(similarity), bucket_limit))
+
+    def mark(b):
+        each = [shingles(t.as_py(), shingle_words) for t in b.column("text")]
+        bits = np.array([wide_fingerprint(h) for h in each]).reshape(-1, WORDS).view(np.int64)
+        nodes = np.array([_node(h) for h in each], np.uint64).view(np.int64)
+        first = pa.array([_first(h, similarity) for h in each], pa.list_(pa.int64()))
+        columns = [b.column("doc_id"), pa.array(nodes), pa.array([len(h) for h in each], pa.int32()), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(WORDS)), first]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", *names, "first"])
+
+    def whole(b):
+        each = [shingles(t.as_py(), shingle_words) for t in b.column("text")]
+        nodes = np.array([_node(h) for h in each], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([h.view(np.int64) for h in each], pa.list_(pa.int64()))], ["node", "shingles"])
+
+    def sets_of(nodes):
+        rows = arrow_map(only(docs, text=text_col), whole, "node long, shingles array<long>")
+        return rows.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
+    marked = cut(arrow_map(only(docs, doc_id=id_col, text=text_col), mark, id_and(docs, id_col, f"node long, n int, {', '.join(f'{n} long' for n in names)}, first array<long>")))
+    points = cut(marked.drop("doc_id").dropDuplicates(["node"]))
+    parts = connected_components(similar_links(points, sets_of, similarity, bucket_limit))
     rooted = points.select("node").join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("root"))
     rooted = marked.groupBy("node").agg(F.min("doc_id").alias("low_id")).join(rooted, "node")
     lowest = rooted.groupBy("root").agg(F.min("low_id").alias("component_id"))
