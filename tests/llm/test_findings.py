@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from vectrill.llm import simhash
+from vectrill.llm import langid, simhash
 
 
 def jaccard(a, b):
@@ -36,3 +36,15 @@ def test_similar_pairs_are_found_exactly(spark, limit):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in simhash.similar_documents(df, bucket_limit=limit).collect()}
     assert [got[i] for i in range(len(texts))] == want
+
+
+def test_language_stage_rejects_gibberish(spark):
+    """Prose of the learned languages stays, short or long; random letters and another language go."""
+    rng = random.Random(5)
+    known = {"en": "the cat and the dog are in this house with that thing which they have found there".split(), "de": "der hund und die katze sind nicht in dem haus weil sie noch auf einen freund warten".split()}
+    rows = [(i, " ".join(rng.choices(known[lang], k=60 + 40 * (i % 5))), lang) for i in range(400) for lang in [("en", "de")[i % 2]]]
+    rows.append((400, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(100)), None))
+    rows.append((401, " ".join("".join(rng.choices("0123456789abcdef", k=16)) for _ in range(100)), "en"))
+    rows.append((402, " ".join(rng.choices("kiedy przyszedł wieczór wszyscy mieszkańcy wyszli przed swoje domy żeby zobaczyć księżyc".split(), k=100)), None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in langid.language_stage(spark, docs, "").collect()) == list(range(400))

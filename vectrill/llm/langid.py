@@ -18,6 +18,8 @@ from ._common import arrow_map, cut, id_and, only
 
 PROFILE_SIZE = 300
 MIN_SCORE = 0.05
+#: Labelled texts of a language and length from which a limit of its own is learned.
+MIN_LABELLED = 50
 UNKNOWN = "und"
 _LETTERS = regex.compile(r"\p{L}+")
 
@@ -144,15 +146,38 @@ def fit_documents(docs: DataFrame) -> dict[str, np.ndarray]:
 def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without letters, or too far from every language's profile, go.
 
-    Profiles are learned from the stage's own labelled input. The verdict is taken row by row from the text.
+    Profiles are learned from the stage's own labelled input, and so are the limits (see ``limits``).
     """
     profiles = fit_documents(docs)
     langs = [x for x in sorted(profiles) if len(profiles[x])]
     if not langs:
         return docs.where(F.regexp_like("text", F.lit(r"\p{L}")))
     carried = docs.select(F.struct("*").alias("row"), F.col("text"))
-    marked = predict_rows(carried, profiles)
-    return marked.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    marked = cut(predict_rows(carried, profiles).withColumn("size", _size(F.col("row")["text"])))
+    low = F.lit(MIN_SCORE)
+    for (lang, size), limit in limits(marked.select(F.col("row")["lang"].alias("lang"), "lang_pred", "size", "score")).items():
+        same = F.col("lang_pred") == lang
+        low = F.when(same if size is None else same & (F.col("size") == size), F.lit(limit)).otherwise(low)
+    return marked.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= low)).select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
+def _size(text) -> F.Column:
+    """Length class: scores grow with the length of a text."""
+    return F.floor(F.log2(F.length(text) + F.lit(1))).cast("int")
+
+
+def limits(scored: DataFrame) -> dict[tuple[str, int | None], float]:
+    """Lowest scores of each language (size None, first) and of its length classes, from all labelled rows of
+    ``scored`` (``lang, lang_pred, size, score``) whose label was found.
+
+    A limit lies below the lowest hundredth by twice the way from the median to the lowest tenth, so that ordinary texts
+    stay. A class with few labelled rows has the language's lowest limit, a language with few has ``MIN_SCORE``. The
+    driver receives a row for each class.
+    """
+    known = scored.where("lang = lang_pred").rollup("lang", "size").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("score", [0.01, 0.1, 0.5], 10_000).alias("q"))
+    found = {(r.lang, r.size): max(MIN_SCORE, r.q[0] - 2 * (r.q[2] - r.q[1])) for r in known.where("lang is not null").collect() if r.n >= MIN_LABELLED}
+    lowest = {lang: min(x for (other, _), x in found.items() if other == lang) for lang, _ in found}
+    return {(lang, None): x for lang, x in sorted(lowest.items())} | {k: x for k, x in found.items() if k[1] is not None}
 
 
 def predict_rows(carried: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
