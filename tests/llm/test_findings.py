@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from vectrill.llm import langid, simhash
+from vectrill.llm import langid, linededup, simhash
 
 
 def jaccard(a, b):
@@ -48,3 +48,14 @@ def test_language_stage_rejects_gibberish(spark):
     rows.append((402, " ".join(rng.choices("kiedy przyszedł wieczór wszyscy mieszkańcy wyszli przed swoje domy żeby zobaczyć księżyc".split(), k=100)), None))
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert sorted(r.doc_id for r in langid.language_stage(spark, docs, "").collect()) == list(range(400))
+
+
+def test_line_stage_keeps_texts_with_many_copies(spark):
+    """Ten copies of a text keep their lines; a line of ten different texts goes, from copies too."""
+    rows = [(i, "shared\nown line\nanother") for i in range(25)] + [(100 + i, f"shared\ntext {i}") for i in range(9)] + [(200 + i, f"few\nline {i}") for i in range(9)]
+    rows += [(3, rows[3][1]), (None, rows[3][1]), (300, None), (301, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for n_blocks in (None, 1):
+        got = linededup.line_dedup_stage(spark, docs, "") if n_blocks is None else linededup.dedup_lines(docs, once_a_text=True, n_blocks=1).withColumnRenamed("kept_text", "text")
+        got = sorted((r.text for r in got.collect()), key=str)
+        assert got == sorted(["own line\nanother"] * 27 + [f"text {i}" for i in range(9)] + [f"few\nline {i}" for i in range(9)] + ["", ""])

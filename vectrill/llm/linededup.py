@@ -95,12 +95,12 @@ def _unpack(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
     return pairs[:, 0], pairs[:, 1]
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_text: bool = True, n_shards: int | None = None, n_blocks: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_text: bool = True, n_shards: int | None = None, n_blocks: int | None = None, once_a_text: bool = False) -> DataFrame:
     r"""Drop every line whose key is at least ``min_chars`` code points and found in at least ``min_docs`` documents.
 
     Returns ``doc_id, n_lines, n_dropped, kept_sha256``, ``kept_text`` if ``with_text`` and, as ``keep_<name>``, the columns named in ``keep``. Texts are split
     at ``\n``; a null or empty text is one empty line; the other lines stay in order, joined by ``\n``. Each row counts
-    as a document, so repeated rows count each time. Null ids are carried along. An empty table gives an empty table;
+    as a document, so repeated rows count each time; with ``once_a_text``, rows of equal text count as one. Null ids are carried along. An empty table gives an empty table;
     columns that aren't named are ignored, whatever their names.
     """
     import pyarrow as pa
@@ -113,11 +113,26 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     def wanted(key: bytes) -> bool:
         return len(key) >= min_chars and (len(key) >= 4 * min_chars or len(key.decode()) >= min_chars)
 
-    def request(table):
+    given = None
+    if once_a_text:
+        # Each distinct text is counted in one of its blocks; equal texts may be too many for a single one.
+        text = F.coalesce("text", F.lit("")).cast("binary")
+        marks = blocks.select("block", F.xxhash64(text).alias("high"), F.xxhash64(text, F.lit(1)).alias("low"))
+        given = marks.groupBy("high", "low").agg(F.min("block").alias("block"))
+        blocks = blocks.withColumns({"high": F.xxhash64(text), "low": F.xxhash64(text, F.lit(1))})
+
+    def request(table, own=None):
         counts: dict[bytes, int] = {}
-        for text in table.column("text"):
+        counted = None
+        if own is not None:
+            mine = set(zip(own.column("high").to_pylist(), own.column("low").to_pylist(), strict=True))
+            marks = zip(table.column("high").to_pylist(), table.column("low").to_pylist(), strict=True)
+            counted = set({mark: i for i, mark in enumerate(marks) if mark in mine}.values())
+        for i, text in enumerate(table.column("text")):
+            # What isn't counted here is asked for all the same.
+            one = 1 if counted is None or i in counted else 0
             for key in {line_key(x) for x in (text.as_py() or "").encode().split(b"\n")}:
-                counts[key] = counts.get(key, 0) + 1
+                counts[key] = counts.get(key, 0) + one
         hashes = [(_digest(k), n) for k, n in counts.items() if wanted(k)]
         if not hashes:
             return
@@ -180,14 +195,17 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     schema = id_and(docs, id_col, "n_lines long, n_dropped long, kept_sha256 string" + ", kept_text string" * with_text)
     for c in keep:
         schema = schema.add(f"keep_{c}", docs.schema[c].dataType)
-    return ask(blocks, request, answer, "hot binary", finish, schema)
+    return ask(blocks, request, answer, "hot binary", finish, schema, given)
 
 
 def line_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents with lines found in ten documents or more taken out; no document goes."""
+    """Pipeline stage: the documents with lines found in ten different texts or more taken out; no document goes.
+
+    Copies of a text count once, or a text with ten copies would lose all of them; near-dedup leaves one.
+    """
     from pyspark.sql import functions as F
 
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    out = dedup_lines(docs, keep=rest)
+    out = dedup_lines(docs, keep=rest, once_a_text=True)
     columns = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
     return out.select(*[columns.get(c, F.col(f"`keep_{c}`" if c in rest else c)).alias(c) for c in docs.columns])
