@@ -112,6 +112,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_bits: int = 2,
 WORDS = 4
 #: Pairs whose bits differ by this many deviations more than expected are not looked at further.
 DEVIATIONS = 6
+#: Size of the bitmap of the nodes whose sets are asked for.
+ASKED_BITS = 1 << 24
 #: Texts with fewer shingles are compared whatever their bits, as the expectation holds for many shingles only.
 MIN_SHINGLES = 64
 
@@ -211,8 +213,10 @@ def similar_links(points: DataFrame, sets_of, similarity: float, bucket_limit: i
     """
     max_bits, first_bits = bits_for(similarity, DEVIATIONS), bits_for(similarity, DEVIATIONS, BITS)
     filed = points.select("node", "f0", "n", F.posexplode("first").alias("place", "key"))
-    hot = cut(filed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("leader")).where(F.col("members") > bucket_limit))
-    small = filed.join(hot, "key", "left_anti")
+    shared = filed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("leader")).where("members > 1")
+    filed = cut(filed.join(shared, "key"))
+    hot = filed.where(F.col("members") > bucket_limit).select("key", "members", "leader").distinct()
+    small = filed.where(F.col("members") <= bucket_limit)
     other = small.select("key", *[F.col(x).alias(f"{x}_b") for x in ("node", "f0", "n", "place")])
     low = F.least("n", "n_b")
     # A pair's first common shingle leaves room for all that it must share.
@@ -227,7 +231,7 @@ def similar_links(points: DataFrame, sets_of, similarity: float, bucket_limit: i
 
     leaders = hot.groupBy("leader").agg(F.max("members").alias("most"), F.sum("members").alias("rows"))
     bins = int((leaders.agg(F.sum("rows")).first()[0] or 0) // bin_rows) + 1
-    crowd = filed.select("node", "key").join(hot.select("key", "leader"), "key").join(leaders.select("leader", F.ceil(F.col("most") / block_rows).cast("int").alias("parts")), "leader")
+    crowd = filed.where(F.col("members") > bucket_limit).select("node", "key", "leader").join(leaders.select("leader", F.ceil(F.col("most") / block_rows).cast("int").alias("parts")), "leader")
     crowd = crowd.withColumn("own", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     bin_ = F.when(F.col("parts") == 1, F.struct(F.lit(0).alias("large"), F.pmod(F.xxhash64("leader"), F.lit(bins)).alias("bin"))).otherwise(F.struct(F.lit(1).alias("large"), F.col("leader").alias("bin")))
     crowd = crowd.select(bin_.alias("at"), "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node")
@@ -264,13 +268,22 @@ def similar_documents(docs: DataFrame, shingle_words: int = 5, similarity: float
         columns = [b.column("doc_id"), pa.array(nodes), pa.array([len(h) for h in each], pa.int32()), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(WORDS)), first]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", *names, "first"])
 
-    def whole(b):
+    def whole(b, asked):
         each = [shingles(t.as_py(), shingle_words) for t in b.column("text")]
         nodes = np.array([_node(h) for h in each], np.uint64).view(np.int64)
+        slots = nodes & (ASKED_BITS - 1)
+        some = np.nonzero(asked[slots >> 6] >> (slots & 63) & 1)[0]
+        nodes, each = nodes[some], [each[i] for i in some]
         yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([h.view(np.int64) for h in each], pa.list_(pa.int64()))], ["node", "shingles"])
 
     def sets_of(nodes):
-        rows = arrow_map(only(docs, text=text_col), whole, "node long, shingles array<long>")
+        # A bitmap of bounded size keeps most sets that nobody asks for from the shuffle; the join below is exact.
+        slot = nodes.select(F.col("node").bitwiseAND(F.lit(ASKED_BITS - 1)).alias("slot"))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(F.lit(63)).cast("int"))
+        found = slot.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toPandas()
+        asked = np.zeros(ASKED_BITS >> 6, np.int64)
+        asked[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+        rows = arrow_map(only(docs, text=text_col), whole, "node long, shingles array<long>", asked)
         return rows.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
     marked = cut(arrow_map(only(docs, doc_id=id_col, text=text_col), mark, id_and(docs, id_col, f"node long, n int, {', '.join(f'{n} long' for n in names)}, first array<long>")))
