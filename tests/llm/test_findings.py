@@ -59,3 +59,62 @@ def test_line_stage_keeps_texts_with_many_copies(spark):
         got = linededup.line_dedup_stage(spark, docs, "") if n_blocks is None else linededup.dedup_lines(docs, once_a_text=True, n_blocks=1).withColumnRenamed("kept_text", "text")
         got = sorted((r.text for r in got.collect()), key=str)
         assert got == sorted(["own line\nanother"] * 27 + [f"text {i}" for i in range(9)] + [f"few\nline {i}" for i in range(9)] + ["", ""])
+
+
+def test_simhash_stage_tells_texts_of_one_id_apart(spark):
+    """Rows that share an id but not a text are different documents; copies go whatever their ids."""
+    rng = random.Random(6)
+    a, b, c = (" ".join(f"{x}{rng.randrange(300)}" for _ in range(90)) for x in "abc")
+    cases = [
+        ([(1, a), (1, b), (2, c)], [(1, a), (1, b), (2, c)]),
+        ([(5, a), (5, b), (2, a)], [(2, a), (5, b)]),
+        ([(1, a), (1, a + " end"), (None, a), (3, b), (3, b), (None, c), (None, c)], None),
+    ]
+    for rows, want in cases:
+        got = [(r.doc_id, r.text) for r in simhash.simhash_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
+        if want is None:
+            assert len(got) == 3 and sorted((i is None, i) for i, _ in got) == [(False, 1), (False, 3), (True, None)]
+        else:
+            assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("limit", [2, 8])
+def test_similar_rows_against_brute_force(spark, limit, monkeypatch):
+    """Pairs at all similarities from 0.6 up, a passage that every other text holds, and chains: the groups are those of
+    all pairs at 0.8 or more, neither more nor less."""
+    rng = random.Random(11)
+    monkeypatch.setattr(simhash, "COMMON", 20)
+    words = [f"w{i}" for i in range(800)]
+    passage = [f"p{i}" for i in range(60)]
+    texts = []
+    for g in range(90):
+        base = [rng.choice(words) for _ in range(rng.choice([30, 90, 200, 400]))]
+        if g % 2:
+            base[10:10] = passage
+        texts.append(" ".join(base))
+        for _ in range(g % 4):
+            copy = list(base)
+            for _ in range(max(1, round(len(base) * rng.uniform(0, 0.05)))):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy))
+    low = list(range(len(texts)))
+    near = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                near += 1
+                a, b = low[i], low[j]
+                low = [min(a, b) if x in (a, b) else x for x in low]
+    assert near > 50
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(df, bucket_limit=limit).collect()}
+    assert [got[i] for i in range(len(texts))] == low
+
+
+def test_common_shingles_come_last(spark):
+    h = simhash.shingles(" ".join(f"w{i}" for i in range(104)))
+    common = h[:30]
+    first = simhash.first_shingles(h, 0.8, common)
+    assert len(first) == 21 and not set(first.tolist()) & set(common.tolist())
+    assert simhash.first_shingles(h, 0.8).tolist() == h[:21].tolist()
+    assert simhash.first_shingles(h[:30], 0.8, common).tolist() == h[:7].tolist()

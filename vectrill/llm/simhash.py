@@ -116,6 +116,9 @@ DEVIATIONS = 6
 ASKED_BITS = 1 << 24
 #: Texts with fewer shingles are compared whatever their bits, as the expectation holds for many shingles only.
 MIN_SHINGLES = 64
+#: Shingles that so many rows file under come last in the order; of these, at most ``MOST_COMMON`` (any order is exact).
+COMMON = 64
+MOST_COMMON = 100_000
 
 
 def bits_for(similarity: float, deviations: float = 0.5, n: int = WORDS * BITS) -> int:
@@ -134,7 +137,13 @@ def shingles(text: str | None, shingle_words: int = 5) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     k = min(shingle_words, len(words))
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), 42) for i in range(len(words) - k + 1)], np.uint64))
+    line = b" ".join(words)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = ends - lengths
+    n = len(words) - k + 1
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(line[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64, n))
 
 
 def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
@@ -161,35 +170,70 @@ def _node(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes(), 11)
 
 
-def _first(hashes: np.ndarray, similarity: float) -> np.ndarray:
-    """The lowest shingles, of which any two sets that are ``similarity`` alike share one."""
+def first_shingles(hashes: np.ndarray, similarity: float, common: np.ndarray | None = None) -> np.ndarray:
+    """The first shingles of a set in an order of all shingles, of which any two sets that are ``similarity`` alike
+    share one: the shingles in ``common`` (sorted) come last, others by their hash."""
     n = len(hashes)
-    return hashes[: n - int(np.ceil(similarity * n - 1e-9)) + 1].view(np.int64)
+    most = n - int(np.ceil(similarity * n - 1e-9)) + 1
+    if common is None or not len(common):
+        return hashes[:most]
+    often = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
+    return np.concatenate([hashes[~often], hashes[often]])[:most]
+
+
+def _near(f: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float, max_bits: int) -> np.ndarray:
+    """Which of the points ``a`` and ``b`` (places, broadcast) may be similar, by sizes and fingerprints."""
+    low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+    away = np.bitwise_count(f[a] ^ f[b]).sum(axis=-1, dtype=np.int64)
+    return (low >= similarity * high - 1e-9) & ((low < MIN_SHINGLES) | (away <= max_bits))
+
+
+def _buckets(p, nodes: np.ndarray):
+    """For each bucket of ``p`` (key, node), the places of its members in ``nodes`` (sorted)."""
+    p = p.sort_values(["key", "node"])
+    keys, at = p["key"].to_numpy(), np.searchsorted(nodes, p["node"].to_numpy())
+    return np.split(at, np.nonzero(keys[1:] != keys[:-1])[0] + 1) if len(keys) else []
+
+
+def _words(q) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return q["node"].to_numpy(), q["n"].to_numpy(), np.stack([q[f"f{i}"].to_numpy() for i in range(WORDS)], axis=1).view(np.uint64)
+
+
+def _suspects(p, similarity: float, max_bits: int) -> np.ndarray:
+    """Nodes of a bin that may be similar to another member of one of their buckets."""
+    nodes, n, f = _words(p.drop_duplicates("node").sort_values("node"))
+    found = np.zeros(len(nodes), bool)
+    for members in _buckets(p, nodes):
+        for a in members:
+            if not found[a]:
+                near = members[_near(f, n, a, members, similarity, max_bits)]
+                if len(near) > 1:
+                    found[near] = True
+    return nodes[found]
 
 
 def _group_links(p, q, similarity: float, max_bits: int):
-    """Spanning links over the crowded buckets of a bin (or a pair of blocks of a large one): ``p`` has the buckets'
-    members, ``q`` the points. Members that aren't linked yet are compared by their whole sets."""
+    """Spanning links over the crowded buckets of a bin (or between two blocks of a large one): ``p`` has the buckets'
+    members, ``q`` the points with their whole sets. Members that aren't linked yet are compared by these, each pair once."""
     import pandas as pd
 
     q = q.sort_values("node")
-    nodes = q["node"].to_numpy()
+    nodes, n, f = _words(q)
     sets = [np.asarray(x, np.int64).view(np.uint64) for x in q["shingles"]]
-    n = np.fromiter(map(len, sets), np.int64, len(sets))
-    f = np.stack([q[f"f{i}"].to_numpy() for i in range(WORDS)], axis=1).view(np.uint64)
-    p = p.sort_values(["key", "node"])
-    keys, at = p["key"].to_numpy(), np.searchsorted(nodes, p["node"].to_numpy())
-    starts = np.nonzero(np.append(True, keys[1:] != keys[:-1]))[0] if len(keys) else []
-    labels = np.arange(len(nodes))
-    for start, end in zip(starts, np.append(starts[1:], len(keys)), strict=True):
-        members = at[start:end]
-        for i, a in enumerate(members[:-1]):
-            rest = members[i + 1 :]
-            rest = rest[labels[rest] != labels[a]]
-            low, high = np.minimum(n[rest], n[a]), np.maximum(n[rest], n[a])
-            rest = rest[(low >= similarity * high - 1e-9) & ((low < MIN_SHINGLES) | (np.bitwise_count(f[rest] ^ f[a]).sum(axis=1, dtype=np.int64) <= max_bits))]
+    labels, own = np.arange(len(nodes)), q["own"].to_numpy()
+    across = len(q) > 0 and q["i"].iloc[0] != q["j"].iloc[0]
+    tried = np.eye(len(nodes), dtype=bool)
+    for members in _buckets(p[p["node"].isin(nodes)], nodes):
+        # Whoever isn't in the largest group so far is compared with everybody else.
+        groups, times = np.unique(labels[members], return_counts=True)
+        for a in members[labels[members] != groups[np.argmax(times)]]:
+            rest = members[(labels[members] != labels[a]) & ~tried[a, members]]
+            if across:
+                rest = rest[own[rest] != own[a]]
+            rest = rest[_near(f, n, a, rest, similarity, max_bits)]
             while len(rest):
                 some = rest[:64]
+                tried[a, some] = tried[some, a] = True
                 flat = np.concatenate([sets[b] for b in some])
                 place = np.minimum(np.searchsorted(sets[a], flat), n[a] - 1)
                 common = np.add.reduceat((sets[a][place] == flat).astype(np.int64), np.cumsum(n[some]) - n[some])
@@ -202,75 +246,95 @@ def _group_links(p, q, similarity: float, max_bits: int):
     return pd.DataFrame({"a": nodes[linked], "b": nodes[labels[linked]]})
 
 
-def similar_links(points: DataFrame, sets_of, similarity: float, bucket_limit: int = 8, block_rows: int = 1000, bin_rows: int = 20_000) -> DataFrame:
+def similar_links(points: DataFrame, filed: DataFrame, sets_of, similarity: float, bucket_limit: int = 8, block_rows: int = 1000, bin_rows: int = 2000) -> DataFrame:
     """Links ``a, b`` that join the same groups as all pairs of points whose Jaccard similarity is ``similarity`` or more.
 
-    ``points`` has ``node``, ``n`` (size of its set), ``f0`` to ``f3`` and ``first``, the shingles under which it is filed;
-    ``sets_of(nodes)`` gives ``node, shingles`` for the nodes that are asked for. Whoever shares a bucket and is near
-    enough by size, place in the order and fingerprint is compared by the whole sets. Buckets of up to ``bucket_limit``
+    ``points`` has ``node``, ``n`` (size of its set) and ``f0`` to ``f3``; ``filed`` has ``key, node``, the first
+    shingles of each set (repeats allowed); ``sets_of(nodes)`` gives ``node, shingles`` for the nodes that are asked for. Whoever shares a bucket and is near
+    enough by size and fingerprint is compared by the whole sets. Buckets of up to ``bucket_limit``
     are joined with themselves. Crowded ones go to bins by their lowest member, so that copies that share many buckets
-    meet once (the largest in pairs of blocks), and give only spanning links.
+    meet once (the largest in pairs of blocks), and give only spanning links; sets are fetched for those only that are
+    near somebody. How a bucket is worked through depends on its size, what is linked doesn't.
     """
-    max_bits, first_bits = bits_for(similarity, DEVIATIONS), bits_for(similarity, DEVIATIONS, BITS)
-    filed = points.select("node", "f0", "n", F.posexplode("first").alias("place", "key"))
-    shared = filed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("leader")).where("members > 1")
-    filed = cut(filed.join(shared, "key"))
-    hot = filed.where(F.col("members") > bucket_limit).select("key", "members", "leader").distinct()
-    small = filed.where(F.col("members") <= bucket_limit)
-    other = small.select("key", *[F.col(x).alias(f"{x}_b") for x in ("node", "f0", "n", "place")])
-    low = F.least("n", "n_b")
-    # A pair's first common shingle leaves room for all that it must share.
-    room = F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b")) >= (F.col("n") + F.col("n_b")) * (similarity / (1 + similarity)) - 1e-9
-    near = (F.col("node") < F.col("node_b")) & room & ((low < MIN_SHINGLES) | (F.bit_count(F.col("f0").bitwiseXOR(F.col("f0_b"))) <= first_bits))
-    pairs = small.join(other, "key").where(near).select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+    max_bits = bits_for(similarity, DEVIATIONS)
+    shared = filed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
+    held = cut(filed.join(shared, "key").dropDuplicates(["key", "node"]).select("key", "node"))
+    sizes = held.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("leader"))
+    held = held.join(sizes, "key")
+    small = held.where(F.col("members") <= bucket_limit).select("key", "node")
+    pairs = small.join(small.select("key", F.col("node").alias("b")), "key").where("node < b").select(F.col("node").alias("a"), "b").distinct()
     f = [F.col(f"f{i}") for i in range(WORDS)]
     left = points.select(F.col("node").alias("a"), F.col("n").alias("n_a"), *[x.alias(f"l{i}") for i, x in enumerate(f)])
     right = points.select(F.col("node").alias("b"), F.col("n").alias("n_b"), *[x.alias(f"r{i}") for i, x in enumerate(f)])
     away = sum((F.bit_count(F.col(f"l{i}").bitwiseXOR(F.col(f"r{i}"))) for i in range(1, WORDS)), F.bit_count(F.col("l0").bitwiseXOR(F.col("r0"))))
-    pairs = cut(pairs.join(left, "a").join(right, "b").where((F.least("n_a", "n_b") < MIN_SHINGLES) | (away <= max_bits)).select("a", "b", "n_a", "n_b"))
+    near = (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9) & ((F.least("n_a", "n_b") < MIN_SHINGLES) | (away <= max_bits))
+    pairs = cut(pairs.join(left, "a").join(right, "b").where(near).select("a", "b", "n_a", "n_b"))
 
-    leaders = hot.groupBy("leader").agg(F.max("members").alias("most"), F.sum("members").alias("rows"))
-    bins = int((leaders.agg(F.sum("rows")).first()[0] or 0) // bin_rows) + 1
-    crowd = filed.where(F.col("members") > bucket_limit).select("node", "key", "leader").join(leaders.select("leader", F.ceil(F.col("most") / block_rows).cast("int").alias("parts")), "leader")
+    crowd = held.where(F.col("members") > bucket_limit)
+    leaders = crowd.groupBy("leader").agg(F.max("members").alias("most"))
+    bins = crowd.count() // bin_rows + 1
+    crowd = crowd.join(leaders.select("leader", F.ceil(F.col("most") / block_rows).cast("int").alias("parts")), "leader")
     crowd = crowd.withColumn("own", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     bin_ = F.when(F.col("parts") == 1, F.struct(F.lit(0).alias("large"), F.pmod(F.xxhash64("leader"), F.lit(bins)).alias("bin"))).otherwise(F.struct(F.lit(1).alias("large"), F.col("leader").alias("bin")))
-    crowd = crowd.select(bin_.alias("at"), "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node")
-    crowd = cut(crowd.select("at.large", "at.bin", "i", "j", "key", "node"))
+    crowd = crowd.select(bin_.alias("at"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "node")
+    crowd = cut(crowd.select("at.large", "at.bin", "i", "j", "own", "key", "node").join(points.select("node", "n", *f), "node"))
+    where = ("large", "bin", "i", "j")
 
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowd.select("node")).distinct()
+    def suspects(p):
+        found = _suspects(p, similarity, max_bits)
+        return p.drop_duplicates("node").loc[lambda x: x["node"].isin(found), ["large", "bin", "i", "j", "own", "node"]]
+
+    asked_in = cut(crowd.groupBy(*where).applyInPandas(suspects, "large int, bin long, i int, j int, own int, node long"))
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(asked_in.select("node")).distinct()
     sets = cut(sets_of(asked))
     x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s_a")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("s_b"))
     both = pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", F.size(F.array_intersect("s_a", "s_b")).alias("common"))
     links = both.where(F.col("common") >= similarity * (F.col("n_a") + F.col("n_b") - F.col("common")) - 1e-9).select("a", "b")
-    where = ("large", "bin", "i", "j")
-    known = crowd.select(*[F.col(c).alias(f"of_{c}") for c in where], F.col("node").alias("node")).distinct().join(sets, "node").join(points.select("node", *f), "node")
-    spanning = crowd.groupBy(*where).cogroup(known.groupBy(*[f"of_{c}" for c in where])).applyInPandas(lambda p, q: _group_links(p, q, similarity, max_bits), "a long, b long")
+    known = asked_in.join(sets, "node").join(points.select("node", "n", *f), "node")
+    left = crowd.select(*where, "key", "node").join(asked_in.drop("own"), [*where, "node"], "left_semi")
+    spanning = left.groupBy(*where).cogroup(known.groupBy(*where)).applyInPandas(lambda p, q: _group_links(p, q, similarity, max_bits), "a long, b long")
     return links.union(spanning).distinct()
 
 
-def similar_documents(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, bucket_limit: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Groups of documents linked by a Jaccard similarity of their shingle sets of ``similarity`` or more:
-    ``doc_id, component_id``.
+def similar_rows(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, bucket_limit: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, mark`` (hash of the text) and ``root`` of every row: rows of one root are linked, directly or through
+    others, by a Jaccard similarity of their shingle sets of ``similarity`` or more.
 
-    Every such pair shares one of the lowest shingles of either set, so filing under these loses none; 256-bit
-    fingerprints with ``DEVIATIONS`` to spare sift the pairs that meet, and each link is confirmed by the whole sets.
-    Equal sets are always linked. Nulls, empty texts, repeated rows and empty tables as in ``near_duplicates``.
+    Every such pair shares one of the first shingles of either set in any order of the shingles, so filing under these
+    loses none. Shingles that many rows file under in the order of hashes come last in the order used, so that a
+    passage found everywhere crowds no bucket. 256-bit fingerprints with ``DEVIATIONS`` to spare sift the pairs that
+    meet, and each link is confirmed by the whole sets. Sets are named by 64-bit hashes; texts with equal sets are
+    linked, those without words (null, empty, white space) among them. An empty table gives an empty table.
     """
     import pyarrow as pa
 
     names = [f"f{i}" for i in range(WORDS)]
+    texts = only(docs, text=text_col)
+
+    def node_array(each):
+        return np.array([_node(h) for h in each], np.uint64).view(np.int64)
 
     def mark(b):
         each = [shingles(t.as_py(), shingle_words) for t in b.column("text")]
         bits = np.array([wide_fingerprint(h) for h in each]).reshape(-1, WORDS).view(np.int64)
-        nodes = np.array([_node(h) for h in each], np.uint64).view(np.int64)
-        first = pa.array([_first(h, similarity) for h in each], pa.list_(pa.int64()))
-        columns = [b.column("doc_id"), pa.array(nodes), pa.array([len(h) for h in each], pa.int32()), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(WORDS)), first]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", *names, "first"])
+        first = pa.array([first_shingles(h, similarity).view(np.int64) for h in each], pa.list_(pa.int64()))
+        columns = [b.column("doc_id"), b.column("mark"), pa.array(node_array(each)), pa.array([len(h) for h in each], pa.int32()), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(WORDS)), first]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "node", "n", *names, "first"])
+
+    def file(batches, common):
+        from ._common import slices
+
+        seen: set[int] = set()  # a task files a set once, so copies of a text don't crowd its buckets
+        for b in (s for x in batches for s in slices(x)):
+            each = [shingles(t.as_py(), shingle_words) for t in b.column("text")]
+            rows = [(first_shingles(h, similarity, common), node) for h, node in zip(each, node_array(each).tolist(), strict=True) if node not in seen and not seen.add(node)]
+            keys = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, np.uint64)
+            nodes = np.repeat(np.array([r[1] for r in rows], np.int64), [len(r[0]) for r in rows])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(nodes)], ["key", "node"])
 
     def whole(b, asked):
         each = [shingles(t.as_py(), shingle_words) for t in b.column("text")]
-        nodes = np.array([_node(h) for h in each], np.uint64).view(np.int64)
+        nodes = node_array(each)
         slots = nodes & (ASKED_BITS - 1)
         some = np.nonzero(asked[slots >> 6] >> (slots & 63) & 1)[0]
         nodes, each = nodes[some], [each[i] for i in some]
@@ -283,28 +347,50 @@ def similar_documents(docs: DataFrame, shingle_words: int = 5, similarity: float
         found = slot.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toPandas()
         asked = np.zeros(ASKED_BITS >> 6, np.int64)
         asked[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-        rows = arrow_map(only(docs, text=text_col), whole, "node long, shingles array<long>", asked)
+        rows = arrow_map(texts, whole, "node long, shingles array<long>", asked)
         return rows.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
-    marked = cut(arrow_map(only(docs, doc_id=id_col, text=text_col), mark, id_and(docs, id_col, f"node long, n int, {', '.join(f'{n} long' for n in names)}, first array<long>")))
-    points = cut(marked.drop("doc_id").dropDuplicates(["node"]))
-    parts = connected_components(similar_links(points, sets_of, similarity, bucket_limit))
-    rooted = points.select("node").join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("root"))
-    rooted = marked.groupBy("node").agg(F.min("doc_id").alias("low_id")).join(rooted, "node")
-    lowest = rooted.groupBy("root").agg(F.min("low_id").alias("component_id"))
-    return marked.select("doc_id", "node").join(rooted.join(lowest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    source = only(docs, doc_id=id_col, text=text_col).withColumn("mark", text_mark(F.col("text")))
+    marked = cut(arrow_map(source, mark, id_and(docs, id_col, f"mark long, node long, n int, {', '.join(f'{n} long' for n in names)}, first array<long>")))
+    often = marked.select(F.explode("first").alias("key")).groupBy("key").count().where(F.col("count") >= COMMON)
+    common = np.sort(often.orderBy(F.desc("count"), "key").limit(MOST_COMMON).select("key").toArrow().column("key").to_numpy().view(np.uint64))
+    filed = texts.mapInArrow(lambda batches: file(batches, common), "key long, node long")
+    points = cut(marked.select("node", "n", *names).dropDuplicates(["node"]))
+    parts = connected_components(similar_links(points, filed, sets_of, similarity, bucket_limit))
+    rows = marked.select("doc_id", "mark", "node").join(parts, "node", "left")
+    return rows.select("doc_id", "mark", F.coalesce("component", "node").alias("root"))
+
+
+def text_mark(text):
+    """Hash of a text; a null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def similar_documents(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, bucket_limit: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``similar_rows`` with the groups named by the smallest id: ``doc_id, component_id`` for each row.
+
+    A null id never is a ``component_id`` unless a group has no other; repeated rows share a group; rows of one id and
+    different texts may be in different groups. An empty table gives an empty table.
+    """
+    rows = cut(similar_rows(docs, shingle_words, similarity, bucket_limit, id_col, text_col))
+    lowest = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(lowest, "root").select("doc_id", "component_id")
 
 
 def simhash_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near copies on shingles of five words, the row of the smallest id stays.
+    """Pipeline stage: of each group of near copies on shingles of five words, one row stays.
 
-    Rows whose id is null stay (nothing else could name them); rows that repeat an id with the same text are one
-    document, of which one row stays.
+    It is the one of the smallest id (a null is above all others), of the smallest hash of the text if that id is there
+    with several texts of the group, and one of the rows that are equal in both. Rows of one id whose texts aren't
+    alike are different documents and all stay.
     """
-    groups = similar_documents(docs, shingle_words=5, similarity=0.8)
-    named = groups.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("times"))
-    leave = cut(named.where("doc_id <> component_id or times > 1").select(F.col("doc_id").alias("gone_id"), (F.col("doc_id") == F.col("component_id")).alias("repeated")))
-    out = docs.join(leave, docs["doc_id"] == leave["gone_id"], "left")
-    once = out.where(leave["gone_id"].isNull()).select(*[docs[f"`{c}`"] for c in docs.columns])
-    again = out.where(leave["repeated"]).select(*[docs[f"`{c}`"] for c in docs.columns]).dropDuplicates(["doc_id"])
-    return once.unionByName(again)
+    rows = cut(similar_rows(docs, shingle_words=5, similarity=0.8))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("mark"))
+    stays = rows.groupBy("root").agg(F.min(order).alias("first"))
+    named = rows.groupBy("doc_id", "mark").agg(F.min("root").alias("root"), F.count(F.lit(1)).alias("times")).join(stays, "root")
+    first = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark"))
+    leave = named.select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark"), first.alias("repeated"), "times").where("not repeated or times > 1")
+    carried = docs.select(F.struct("*").alias("row"), docs["doc_id"].alias("own_id"), text_mark(docs["text"]).alias("own_mark"))
+    found = carried.join(cut(leave), F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_mark") == F.col("gone_mark")), "left")
+    again = found.where("repeated").dropDuplicates(["own_id", "own_mark"])
+    return found.where("repeated is null").select("row.*").union(again.select("row.*"))
