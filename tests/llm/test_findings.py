@@ -99,9 +99,10 @@ def test_similar_rows_against_brute_force(spark, limit, monkeypatch):
             texts.append(" ".join(copy))
     low = list(range(len(texts)))
     near = 0
-    for i in range(len(texts)):
-        for j in range(i):
-            if jaccard(texts[i], texts[j]) >= 0.8:
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if len(x & y) >= 0.8 * len(x | y):
                 near += 1
                 a, b = low[i], low[j]
                 low = [min(a, b) if x in (a, b) else x for x in low]

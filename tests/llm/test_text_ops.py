@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from vectrill.llm import bpe, langid, linededup, lmscore, packing, quality, sharding, simhash
 
@@ -70,20 +71,47 @@ def test_quality_counts(spark, odd):
 
 
 def test_quality_verdict(spark, empty):
+    """References come from labelled rows; held-out prose of each language stays, junk goes, other scripts are judged by
+    their characters."""
     rng = random.Random(2)
-    good = " ".join(rng.choice(["the", "of", "and", "to", "in", "is", "that", "it", "for", "was"] * 2 + [f"word{rng.choice('abcdefgh')}{rng.choice('klmnop')}" for _ in range(20)]) for _ in range(120))
-    symbols = " ".join(f"zq{i}###" for i in range(120))
-    odd_words = " ".join(f"zxq{chr(97 + i % 26)}{chr(97 + i // 26)}vv" for i in range(300))
-    got = {r.doc_id: r for r in quality.assess(table(spark, [good, symbols, odd_words, "short"])).collect()}
-    assert [got[i].kept for i in range(4)] == [True, False, False, False]
-    assert got[1].char_jsd > quality.MAX_CHAR_JSD and got[2].word_jsd == 1.0 and got[3].char_jsd is None
-    assert 0 <= got[0].char_jsd < 0.05 and 0 <= got[0].word_jsd < 0.4
+    common = {"en": "the of and to in is that it for was".split(), "de": "der die und von zu das mit sich auf ist".split()}
+
+    def text(lang, n):
+        return " ".join(rng.choice(common[lang] * 2 + [f"{lang}rd{rng.choice('abcdefgh')}{rng.choice('klmnop')}" for _ in range(20)]) for _ in range(n))
+
+    rows = [(i, text(lang, 80 + i), lang) for i in range(60) for lang in [("en", "de")[i % 2]]]
+    references = quality.fit(spark.createDataFrame([*rows, (None, text("en", 90), "en"), (99, None, "en"), (98, "few words", "fr")], "doc_id long, text string, lang string"), common_words=10)
+    assert list(references.words) == ["de", "en"] and references.words["en"]["the"] > 0.03 > references.words["en"]["der"] == 0.0
+    assert all(abs(sum(c.values()) - 1) < 1e-9 for c in references.classes.values())
+    held = [text(("en", "de")[i % 2], 60 + 10 * i) for i in range(20)]
+    symbols = " ".join(f"{rng.choice(common['en'])}###" for i in range(120))
+    bars = " | ".join(rng.choice([*common["en"], "word", "wort"]) for _ in range(150))
+    few = " ".join(rng.choice(["the", "qz", "vv", "pq", "mj", "kw", "xx", "ww"]) + rng.choice("abcdef") * rng.randint(0, 1) for _ in range(300))
+    other = " ".join("".join(rng.choice("абвгдежзиклмно") for _ in range(5)) for _ in range(100))
+    texts = [*held, symbols, bars, few, other, "short"]
+    got = {r.doc_id: r for r in quality.assess(table(spark, texts), references).collect()}
+    assert [got[i].kept for i in range(len(texts))] == [True] * 20 + [False, False, False, True, False]
+    assert [got[i].language for i in range(20)] == ["en", "de"] * 10
+    assert got[20].char_jsd > quality.MAX_CHAR_JSD and got[22].word_jsd > 0.15 and got[24].char_jsd is None
+    assert got[23].language is None and got[23].word_jsd is None and got[23].char_jsd < quality.MAX_CHAR_JSD
+    assert all(got[i].char_jsd < 0.01 and got[i].word_jsd < 0.12 for i in range(20))
     assert quality.assess(empty).count() == 0 and quality.quality_stage(spark, empty, "").columns == empty.columns
-    assert [r.doc_id for r in quality.quality_stage(spark, table(spark, [good, symbols]), "").collect()] == [0]
+    docs = spark.createDataFrame([*rows, (100, symbols, "en"), (101, bars, None), (102, held[0], None)], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in quality.quality_stage(spark, docs, "").collect()}
+    assert not kept & {100, 101} and len(kept & {*range(60)}) >= 40
+    assert quality.fit(docs, sample=0).words == {} and quality.sampled(docs, 30).count() == 61
+
+
+def test_divergence(spark):
+    p, q = [0.5, 0.5, 0.0], [0.25, 0.25, 0.5]
+    got = spark.range(1).select(quality.jensen_shannon([F.lit(x) for x in p], [F.lit(x) for x in q])).first()[0]
+    m = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
+    want = sum(x * np.log2(x / y) / 2 for s in (p, q) for x, y in zip(s, m, strict=True) if x > 0)
+    assert abs(got - want) < 1e-12
 
 
 def test_quality_is_native(spark, odd):
-    plan = quality.assess(odd)._jdf.queryExecution().executedPlan().toString()
+    plan = quality.assess(odd, quality.References({"en": {"the": 0.5}}, {"en": dict.fromkeys(quality.CLASSES, 0.2)}))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan.replace("Exchange RoundRobin", "")
 
 

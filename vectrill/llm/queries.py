@@ -134,48 +134,55 @@ from r group by conv_id
 
 
 def _op2() -> str:
-    """The base counts and the divergences, from the same reference tables as the operator."""
-
-    def jsd(p: list[str], q: list[str]) -> str:
-        term = lambda a, m: f"(case when {a} > 0 then {a} * log2({a} / {m}) else 0.0 end)"
-        return "(" + " + ".join(f"{term(a, f'(({a} + {b}) / 2)')} + {term(b, f'(({a} + {b}) / 2)')}" for a, b in zip(p, q, strict=True)) + ") / 2"
-
-    common, classes = quality.COMMON_WORDS, quality.CHAR_CLASSES
-    total = sum(classes.values())
-    counted = {"lower": "letters - upper_", "upper": "upper_", "digit": "digits", "space": "chars - word_chars", "other": "letters_not"}
-    char = jsd([f"(greatest({counted[c]}, 0) / chars)" for c in classes], [f"{x / total!r}::double" for x in classes.values()])
-    best = "greatest(" + ", ".join(f"n_{c}" for c in common) + ")"
-    of = {c: jsd([f"(h_{c}_{k} / best)" for k in range(len(ws))], [f"{x / sum(ws.values())!r}::double" for x in ws.values()]) for c, ws in common.items()}
-    pick = "case " + " ".join(f"when n_{c} = best then {of[c]}" for c in common) + " end"
-    hits = ", ".join(
-        f"len(list_filter(low, lambda x: x in ({', '.join(repr(w) for w in ws)}))) as n_{c}, " + ", ".join(f"len(list_filter(low, lambda x: x = '{w}')) as h_{c}_{k}" for k, w in enumerate(ws))
-        for c, ws in common.items()
-    )
-    every = ", ".join(repr(w) for w in sorted({w for ws in common.values() for w in ws}))
+    """The base counts, the fit of the references and the divergences, all from the tables."""
+    term = lambda p, q: " + ".join(f"(case when {x} > 0 then {x} * log2({x} / (({p} + {q}) / 2)) else 0.0 end) / 2" for x in (p, q))
+    char = " + ".join(term(f"(c.{k}_ / c.chars)", f"r.{k}_") for k in quality.CLASSES)
+    base, slope = quality.MAX_WORD_JSD
     return rf"""
-with a as (select doc_id, coalesce(text, '') as t from documents),
+with a as (select doc_id, lang, coalesce(text, '') as t from documents),
 b as (
-  select doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws,
+  select doc_id, lang, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws,
     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls,
-    length(t) as chars, length(regexp_replace(t, '\P{{L}}+', '', 'g')) as letters, length(regexp_replace(t, '\P{{Lu}}+', '', 'g')) as upper_, length(regexp_replace(t, '\P{{Nd}}+', '', 'g')) as digits
+    length(t) as chars, length(regexp_replace(t, '\P{{L}}+', '', 'g')) as letters, length(regexp_replace(t, '\P{{Lu}}+', '', 'g')) as upper_, length(regexp_replace(t, '\P{{Nd}}+', '', 'g')) as digit_
   from a
 ),
 g as (select doc_id, unnest(range(1, len(ws) - 1)) as i, ws from b where len(ws) >= 3),
 w as (select doc_id, i, count(*) over (partition by doc_id, ws[i], ws[i + 1], ws[i + 2]) as n from g),
-r as (select doc_id, count(distinct pos) as n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2]) as pos from w where n >= 2) group by doc_id),
+rep as (select doc_id, count(distinct pos) as n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2]) as pos from w where n >= 2) group by doc_id),
 c as (
   select b.*, len(ws)::bigint as n_words, length(array_to_string(ws, '')) as word_chars, len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
-    len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(r.n_repeat_words, 0) as n_repeat_words,
-    list_filter(list_transform(ws, lambda x: lower(x)), lambda x: x in ({every})) as low
-  from b left join r using (doc_id)
+    len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(rep.n_repeat_words, 0) as n_repeat_words, list_transform(ws, lambda x: lower(x)) as low,
+    len(ws) < 50 or 100 * coalesce(rep.n_repeat_words, 0) > 50 * len(ws) as base_failed,
+    letters - upper_ as lower_, chars - length(array_to_string(ws, '')) as space_, greatest(length(array_to_string(ws, '')) - letters - digit_, 0) as other_
+  from b left join rep using (doc_id)
+),
+s as (
+  select c.* from c join (select lang, count(*) as n from documents where lang is not null group by lang) as l using (lang)
+  where ('0x' || substr(md5(doc_id::varchar), 1, 8))::bigint::double * l.n < {float(quality.SAMPLE << 32)!r}::double and not base_failed
+),
+n as (select lang, word, count(*) as n from (select lang, unnest(low) as word from s) group by lang, word),
+v as (select distinct word from (select word, row_number() over (partition by lang order by n desc, word) as place from n) where place <= {quality.COMMON_WORDS}),
+q as (select lang, word, n / sum(n) over (partition by lang) as q from n),
+r as (
+  select *, (select sum(q) from q where q.lang = k.lang and q.word in (select word from v)) as held from (
+    select lang, {", ".join(f"sum({k}_) / sum({' + '.join(f'{x}_' for x in quality.CLASSES)}) as {k}_" for k in quality.CLASSES)} from s group by lang
+  ) as k
+),
+f as (select doc_id, word, count(*) as n from (select doc_id, unnest(low) as word from c) where word in (select word from v) group by doc_id, word),
+e as (select doc_id, sum(n) as n from f group by doc_id),
+h as (
+  select f.doc_id, r.lang, sum({term("(f.n / c.n_words)", "coalesce(q.q, 0.0)")} - coalesce(q.q, 0.0) / 2) as part
+  from f join c using (doc_id) cross join r left join q on q.lang = r.lang and q.word = f.word group by f.doc_id, r.lang
+),
+j as (
+  select c.doc_id, r.lang, coalesce(e.n, 0) / c.n_words as common, coalesce(h.part, 0.0) + r.held / 2 + {term("(1.0 - coalesce(e.n, 0) / c.n_words)", "(1.0 - r.held)")} as wj, {char} as cj
+  from c cross join r left join e using (doc_id) left join h on h.doc_id = c.doc_id and h.lang = r.lang
+  where c.chars >= {quality.MIN_CHARS} and c.n_words >= {quality.MIN_WORDS}
 ),
-d as (select *, word_chars - letters - digits as letters_not, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, {hits} from c),
-e as (select *, {best} as best from d),
-f as (select *, case when chars >= {quality.MIN_CHARS} and n_words >= {quality.MIN_WORDS} then {char} end as cj,
-  case when chars >= {quality.MIN_CHARS} and n_words >= {quality.MIN_WORDS} then case when best * 50 < n_words then 1.0 when best >= {quality.MIN_COMMON} then {pick} end end as wj from e)
-select doc_id, n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words,
-  base_failed, not base_failed and coalesce(cj, 0) <= {quality.MAX_CHAR_JSD} and coalesce(wj, 0) <= {quality.MAX_WORD_JSD} as kept
-from f
+k as (select doc_id, min(common) as common, min(wj) as wj, arg_min(cj, wj) as cj, min(cj) as nearest from j group by doc_id)
+select c.doc_id, n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, base_failed,
+  not base_failed and coalesce(case when common >= {quality.MIN_COMMON} then cj <= {quality.MAX_CHAR_JSD} and wj <= {base} + {slope} / n_words else nearest <= {quality.MAX_CHAR_JSD} end, true) as kept
+from c left join k using (doc_id)
 """
 
 
