@@ -55,8 +55,8 @@ def test_line_stage_keeps_texts_with_many_copies(spark):
     rows = [(i, "shared\nown line\nanother") for i in range(25)] + [(100 + i, f"shared\ntext {i}") for i in range(9)] + [(200 + i, f"few\nline {i}") for i in range(9)]
     rows += [(3, rows[3][1]), (None, rows[3][1]), (300, None), (301, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for n_blocks in (None, 1):
-        got = linededup.line_dedup_stage(spark, docs, "") if n_blocks is None else linededup.dedup_lines(docs, once_a_text=True, n_blocks=1).withColumnRenamed("kept_text", "text")
+    for sent in (None, 0):
+        got = linededup.line_dedup_stage(spark, docs, "") if sent is None else linededup.dedup_lines(docs, once_a_text=True, index_bytes=0).withColumnRenamed("kept_text", "text")
         got = sorted((r.text for r in got.collect()), key=str)
         assert got == sorted(["own line\nanother"] * 27 + [f"text {i}" for i in range(9)] + [f"few\nline {i}" for i in range(9)] + ["", ""])
 
@@ -119,3 +119,17 @@ def test_common_shingles_come_last(spark):
     assert len(first) == 21 and not set(first.tolist()) & set(common.tolist())
     assert simhash.first_shingles(h, 0.8).tolist() == h[:21].tolist()
     assert simhash.first_shingles(h[:30], 0.8, common).tolist() == h[:7].tolist()
+
+
+@pytest.mark.parametrize("sent", [linededup.INDEX_BYTES, 0])
+def test_fingerprints_turn_lines_away(spark, sent, monkeypatch):
+    """The index holds shared lines only; without its fingerprints, other lines that reach a slot would go too."""
+    rows = [(i, "\n".join([f"shared {i % 4}", *(f"own {i} {k}" for k in range(50))])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = linededup.dedup_lines(docs, index_bytes=sent).agg({"n_dropped": "sum", "n_lines": "sum"}).first()
+    assert got["sum(n_dropped)"] == 60 and got["sum(n_lines)"] == 60 * 51
+    hashes = linededup._hashes([line.encode() for _, t in rows for line in t.split("\n")])
+    index = linededup.fetched(linededup.line_index(linededup.line_counts(docs, 1, 1), 10), 1 << 20)[0]
+    assert len(index.counts) == 4 and sorted(index.counts) == [15] * 4
+    assert (linededup.probe({0: index}, hashes, 1) > 0).sum() == 60
+    assert (index.slots(hashes[:, 0], hashes[:, 1]) >= 0).sum() > 60

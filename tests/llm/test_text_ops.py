@@ -99,7 +99,7 @@ def test_quality_verdict(spark, empty):
     docs = spark.createDataFrame([*rows, (100, symbols, "en"), (101, bars, None), (102, held[0], None)], "doc_id long, text string, lang string")
     kept = {r.doc_id for r in quality.quality_stage(spark, docs, "").collect()}
     assert not kept & {100, 101} and len(kept & {*range(60)}) >= 40
-    assert quality.fit(docs, sample=0).words == {} and quality.sampled(docs, 30).count() == 61
+    assert quality.fit(docs, sample=0).words == {} and quality.sampled(docs, 1000).count() == 61
 
 
 def test_divergence(spark):
@@ -205,8 +205,8 @@ def test_line_dedup(spark, odd, empty):
     pool = [prose(rng, rng.randint(1, 5)) for _ in range(60)] + ["", " ", "x", "É", "é"]
     texts = [None, ""] + ["\n".join(rng.choice(pool) + rng.choice(["", " ", "\t"]) for _ in range(rng.randint(1, 30))) for _ in range(120)]
     texts = [t.upper() if t and rng.random() < 0.2 else t for t in texts]
-    for least, chars in ((10, 1), (3, 2), (2, 1)):
-        got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256, r.kept_text) for r in linededup.dedup_lines(table(spark, texts), least, chars, n_shards=5, n_blocks=7).collect()}
+    for least, chars, sent in ((10, 1, 1 << 20), (10, 1, 0), (3, 2, 0), (2, 1, 1 << 20)):
+        got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256, r.kept_text) for r in linededup.dedup_lines(table(spark, texts), least, chars, n_shards=5, index_bytes=sent).collect()}
         assert got == dict(enumerate(brute_lines(texts, least, chars)))
     assert linededup.dedup_lines(empty).count() == 0
     out = linededup.dedup_lines(odd, min_docs=3, keep=("block",))

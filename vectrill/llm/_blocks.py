@@ -23,15 +23,15 @@ def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, n_blocks: int | N
     return docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).repartition(n, "block")
 
 
-def ask(blocks: DataFrame, request, answer, reply: str, finish, schema: str, given: DataFrame | None = None) -> DataFrame:
+def ask(blocks: DataFrame, request, answer, reply: str, finish, schema: str, kept: DataFrame | None = None) -> DataFrame:
     """Run one round: ``request(block table) -> [(shard, keys, extra)]`` in each block, ``answer(shard table) -> table``
     with columns ``block`` and ``reply`` in each shard, ``finish(block table, reply table) -> table`` in each block. If rows
-    with a ``block`` are ``given``, it is ``request(block table, given table)``."""
+    with a ``shard`` are ``kept`` for the shards, it is ``answer(shard table, kept table)``."""
     import pyarrow as pa
 
-    def send(table, *more):
+    def send(table):
         block = table.column("block")[0].as_py() if table.num_rows else None
-        rows = list(request(table, *more))
+        rows = list(request(table))
         return pa.table(
             {
                 "shard": pa.array([r[0] for r in rows], pa.int32()),
@@ -41,9 +41,10 @@ def ask(blocks: DataFrame, request, answer, reply: str, finish, schema: str, giv
             }
         )
 
-    if given is None:
-        requests = blocks.groupBy("block").applyInArrow(send, REQUEST)
+    requests = blocks.groupBy("block").applyInArrow(send, REQUEST)
+    schema_of = f"block int, {reply}"
+    if kept is None:
+        replies = requests.groupBy("shard").applyInArrow(answer, schema_of)
     else:
-        requests = blocks.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(lambda left, right: send(left, right), REQUEST)
-    replies = requests.groupBy("shard").applyInArrow(answer, f"block int, {reply}")
+        replies = requests.groupBy("shard").cogroup(kept.groupBy("shard")).applyInArrow(answer, schema_of)
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, schema)

@@ -100,13 +100,14 @@ select d.doc_id, len(ws)::bigint as n_words, round(avg(s.s), 6) as score from d
 """
 
 OP4 = r"""
-with l as (
-  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents
+with d as materialized (select row_number() over () as r, doc_id, text from documents),
+l as (
+  select r, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from d
 ), k as (
-  select doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l
-), hot as (select key from k where length(key) >= 1 group by key having count(distinct doc_id) >= 10)
-select doc_id, count(*) as n_lines, count(hot.key) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (where hot.key is null), '')) as kept_sha256
-from k left join hot using (key) group by doc_id
+  select r, doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l
+), hot as (select key from k where length(key) >= 1 group by key having count(distinct r) >= 10)
+select any_value(doc_id) as doc_id, count(*) as n_lines, count(hot.key) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (where hot.key is null), '')) as kept_sha256
+from k left join hot using (key) group by r
 """
 
 OP5 = """
