@@ -1,8 +1,9 @@
 """Stupid-backoff language-model scores (Brants et al., 2007), computed relationally.
 
 N-gram counts of the whole corpus live in tables partitioned by a hash of the n-gram. Documents are exploded into
-n-grams, which are pre-aggregated in blocks of documents, joined to the counts in their hash partition, and brought
-back and summed for each document.
+n-grams, which are grouped in blocks of documents, counted and joined to the counts in their hash partition, and brought
+back and summed for each document. It is the plan explode, group, join, sum with packed columns: the rows of a block that
+go to one hash partition travel as one row of sorted hashes, since a row for each n-gram would not fit the disk.
 """
 
 from __future__ import annotations
@@ -65,12 +66,33 @@ def _distinct(grams: list[np.ndarray], words: int) -> tuple[np.ndarray, np.ndarr
     return keys[1:], np.maximum(at - 1, 0), counts[1:]
 
 
-def score(docs: DataFrame, order: int = 2, min_count: int = 2, backoff: float = BACKOFF, id_col: str = "doc_id", text_col: str = "text", n_shards: int | None = None, n_blocks: int | None = None) -> DataFrame:
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers as planes of bytes, lowest bytes first, so that planes of small numbers compress to nothing."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+
+
+def unpack(buffer: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(buffer, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Sorted unsigned longs as their differences."""
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_sorted(buffer: bytes) -> np.ndarray:
+    return np.cumsum(unpack(buffer, np.uint64), dtype=np.uint64)
+
+
+def score(docs: DataFrame, order: int = 3, min_count: int = 2, backoff: float = BACKOFF, id_col: str = "doc_id", text_col: str = "text", n_shards: int | None = None, n_blocks: int | None = None) -> DataFrame:
     """``doc_id, n_words, score``: the mean over a text's words of the natural log of their stupid-backoff score.
 
     S(w | history) is count(history w) / count(history) for the longest history of up to ``order - 1`` words whose
     n-gram is found at least ``min_count`` times, times ``backoff`` for every word dropped from the longest that the
-    text has there; without a history it is count(w) / all words. Counts are over all rows, repeated ones included.
+    text has there; without a history it is count(w) / all words. Counts are over all rows, repeated ones included. As
+    the scored documents are the counted ones, an n-gram of count 1 is the very occurrence that is scored: it says nothing
+    about the text and nothing would ever back off if it counted, hence ``min_count`` 2.
     Words are runs of anything but ASCII white space, A-Z lower-cased. A text without words (null, empty) has a null
     score. Null ids are carried along; an empty table gives an empty table.
     """
@@ -80,35 +102,33 @@ def score(docs: DataFrame, order: int = 2, min_count: int = 2, backoff: float =
     blocks = in_blocks(only(docs, doc_id=id_col, text=text_col), BLOCK_BYTES, n_blocks)
 
     def by_shard(keys):
-        shard = (keys >> np.uint64(33)) % np.uint64(shards)
-        order_ = np.argsort(shard, kind="stable")
-        return order_, shard[order_]
+        """The shards that sorted keys go to, and the ranges of their keys."""
+        shard = ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+        starts = np.nonzero(np.append(True, shard[1:] != shard[:-1]))[0]
+        return zip(shard[starts].tolist(), starts.tolist(), np.append(starts[1:], len(keys)).tolist(), strict=True)
 
     def request(table):
         grams, sizes = ngrams((t.as_py() for t in table.column("text")), order)
         keys, _, counts = _distinct(grams, int(sizes.sum()))
-        order_, shard = by_shard(keys)
-        edges = np.nonzero(np.append(True, shard[1:] != shard[:-1]))[0]
-        for a, b in zip(edges, np.append(edges[1:], len(shard)), strict=True):
-            rows = order_[a:b]
-            yield int(shard[a]), keys[rows].tobytes(), counts[rows].astype(np.int32).tobytes()
+        for shard, a, b in by_shard(keys):
+            yield shard, pack_sorted(keys[a:b]), pack(counts[a:b].astype(np.int32))
 
     def answer(table):
-        asked = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, np.int32) for x in table.column("extra").to_pylist()])
+        asked = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
+        own = [unpack(x, np.int32) for x in table.column("extra").to_pylist()]
         keys, at = np.unique(np.concatenate(asked), return_inverse=True)
-        total = np.bincount(at, counts, len(keys)).astype(np.int64)
+        total = np.bincount(at, np.concatenate(own), len(keys)).astype(np.int64)
         ends = np.cumsum([len(x) for x in asked])
-        out = [total[at[e - len(x) : e]].tobytes() for x, e in zip(asked, ends, strict=True)]
+        # What other blocks have is sent back: nothing, mostly.
+        out = [pack(total[at[e - len(x) : e]] - n) for x, n, e in zip(asked, own, ends, strict=True)]
         return pa.table({"block": table.column("block"), "shard": table.column("shard"), "counts": pa.array(out, pa.binary())})
 
     def finish(left, right):
         grams, sizes = ngrams((t.as_py() for t in left.column("text")), order)
-        keys, at, _ = _distinct(grams, 0)
-        order_, shard = by_shard(keys)
+        keys, at, totals = _distinct(grams, int(sizes.sum()))
         replies = dict(zip(right.column("shard").to_pylist(), right.column("counts").to_pylist(), strict=True))
-        totals = np.zeros(len(keys), np.int64)
-        totals[order_] = np.concatenate([np.frombuffer(replies[s], np.int64) for s in sorted(set(shard.tolist()))])
+        for shard, a, b in by_shard(keys):
+            totals[a:b] += unpack(replies[shard], np.int64)
         everything = totals[at[-1]]
         if len(grams[0]) == 0:
             sums = np.zeros(len(sizes))

@@ -87,16 +87,20 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 OP1 = f"""
-with d as (select doc_id, {_WORDS.format(_LOWER)} as ws from documents),
-w as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as i from d),
-b as (select doc_id, w, lag(w) over (partition by doc_id order by i) as p from w),
+with d as materialized (select row_number() over () as r, doc_id, {_WORDS.format(_LOWER)} as ws from documents),
+w as (select r, unnest(ws) as w, generate_subscripts(ws, 1) as i from d),
+b as (select r, w, lag(w) over (partition by r order by i) as p, lag(w, 2) over (partition by r order by i) as o from w),
 c1 as (select w, count(*) as n from w group by w),
 c2 as (select p, w, count(*) as n from b where p is not null group by p, w),
+c3 as (select o, p, w, count(*) as n from b where o is not null group by o, p, w),
 s as (
-  select b.doc_id, case when b.p is null then ln(c1.n / t.n) when c2.n >= 2 then ln(c2.n / cp.n) else ln(c1.n / t.n) + ln(0.4) end as s
-  from b join c1 on c1.w = b.w left join c1 as cp on cp.w = b.p left join c2 on c2.p = b.p and c2.w = b.w cross join (select sum(n)::double as n from c1) as t
+  select b.r, case when b.p is null then ln(c1.n / t.n) when c3.n >= 2 then ln(c3.n / co.n)
+    else case when c2.n >= 2 then ln(c2.n / cp.n) else ln(c1.n / t.n) + ln(0.4) end + case when b.o is null then 0 else ln(0.4) end end as s
+  from b join c1 on c1.w = b.w left join c1 as cp on cp.w = b.p left join c2 on c2.p = b.p and c2.w = b.w
+    left join c2 as co on co.p = b.o and co.w = b.p left join c3 on c3.o = b.o and c3.p = b.p and c3.w = b.w
+  cross join (select sum(n)::double as n from c1) as t
 )
-select d.doc_id, len(ws)::bigint as n_words, round(avg(s.s), 6) as score from d left join s on s.doc_id = d.doc_id group by d.doc_id, ws
+select any_value(d.doc_id) as doc_id, len(any_value(ws))::bigint as n_words, round(avg(s.s), 6) as score from d left join s on s.r = d.r group by d.r
 """
 
 OP4 = r"""
