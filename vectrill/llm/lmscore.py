@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 
 from ._blocks import ask, in_blocks
 from ._common import id_and, only, parts_for
 
 SHARD_BYTES = 6 << 20
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 7 << 20
 BACKOFF = 0.4
 #: The key under which a block sends its number of words; its count is the size of the corpus.
 _ALL = np.uint64(0x5D1C3E0F9A7B2468)
@@ -61,19 +62,26 @@ def ngrams(texts, order: int) -> tuple[list[np.ndarray], np.ndarray]:
 def _distinct(grams: list[np.ndarray], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys of all orders and that of the corpus size, how often each occurs, and where each n-gram's key is
     (the orders end to end; an n-gram that isn't there has the first place, which is never read)."""
-    keys, at, counts = np.unique(np.concatenate([*grams, np.array([0, _ALL], np.uint64)]), return_inverse=True, return_counts=True)
+    flat = np.concatenate([*grams, np.array([0, _ALL], np.uint64)])
+    order = np.argsort(flat).astype(np.int32)
+    flat = flat[order]
+    first = np.append(True, flat[1:] != flat[:-1])
+    keys = flat[first]
+    counts = np.diff(np.nonzero(first)[0], append=len(flat))
+    at = np.empty(len(flat), np.int32)
+    at[order] = np.cumsum(first, dtype=np.int32) - 1
     counts[at[-1]] = words
     return keys[1:], np.maximum(at - 1, 0), counts[1:]
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Whole numbers as planes of bytes, lowest bytes first, so that planes of small numbers compress to nothing."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+    """Whole numbers as compressed planes of bytes, lowest bytes first: planes of small numbers shrink to nothing."""
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes(), 1)
 
 
 def unpack(buffer: bytes, kind) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(buffer, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(buffer), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
