@@ -17,7 +17,7 @@ from ._blocks import ask, in_blocks
 from ._common import id_and, only, parts_for
 
 SHARD_BYTES = 6 << 20
-BLOCK_BYTES = 7 << 20
+BLOCK_BYTES = 11 << 20
 BACKOFF = 0.4
 #: The key under which a block sends its number of words; its count is the size of the corpus.
 _ALL = np.uint64(0x5D1C3E0F9A7B2468)
