@@ -1,8 +1,10 @@
+import dataclasses
 import os
 import threading
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import vectrill
 from vectrill import CollectionNotFoundError, CorruptedMetadataError, DimensionMismatchError, WriteConflictError
@@ -125,7 +127,7 @@ def test_compact_flush_health_vacuum(db):
     h = col.health()
     assert h.ok and h.coherent and h.doc_count == 4 and h.store_gen == h.index_gen
     assert col.query(vector=E[3], k=1, approximate=True).ids == ["a"]
-    assert col.vacuum(keep=1) > 0 and col.get().ids == list("abcd")
+    assert col.vacuum(keep=1, older_than=0) > 0 and col.get().ids == list("abcd")
 
 
 def test_catalog(db, tmp_path, monkeypatch, spark):
@@ -200,7 +202,7 @@ def test_conflicts_and_crashes(db, spark):
         store.update(lambda m: Manifest(**{**m.__dict__, "store_gen": stale.store_gen + 1}))
     # A crash before the commit leaves files that nothing refers to.
     store.write(spark.range(3).selectExpr("id as uid"), "segments")
-    assert col.count() == 4 and col.vacuum() == 1 and col.count() == 4
+    assert col.count() == 4 and col.vacuum(older_than=0) == 1 and col.count() == 4
 
 
 def test_frames_and_stream(db, spark, tmp_path):
@@ -224,3 +226,64 @@ def test_frames_and_stream(db, spark, tmp_path):
     target = db.collection("streamed")
     stream_upsert(spark.readStream.schema(late.schema).parquet(str(tmp_path / "in")), target, str(tmp_path / "ck"), "at").awaitTermination()
     assert sorted(target.get().ids) == ["i1", "n"] and target.get(ids=["i1"]).documents == ["newest"]
+
+
+def test_vacuum_leaves_a_write_under_way_alone(db):
+    """Files written but not yet committed survive a vacuum; a commit of files that are gone is worked out again."""
+    col = db.collection("busy", dim=8)
+    col.add(ids=["a"], vectors=[[1.0] + [0.0] * 7])
+    store, tries = col._store, []
+
+    def change(current):
+        tries.append(store.write(col.frame().withColumn("uid", F.lit(current.next_uid)).withColumn("id", F.lit("b")), "segments"))
+        if len(tries) == 1:
+            col.vacuum(keep=1)
+        elif len(tries) == 2:
+            col.vacuum(keep=1, older_than=0)
+        return col._next(current, tries[-1], None, next_uid=current.next_uid + 1)
+
+    store.update(change)
+    assert len(tries) == 1 and sorted(col.get().ids) == ["a", "b"]
+    tries.append("")
+    del tries[1:]
+
+    def again(current):
+        path = store.write(col.frame().where("id = 'b'").withColumn("uid", F.lit(current.next_uid)).withColumn("id", F.lit("c")), "segments")
+        tries.append(path)
+        if len(tries) == 2:
+            col.vacuum(keep=1, older_than=0)
+        return col._next(current, path, None, next_uid=current.next_uid + 1)
+
+    store.update(again)
+    assert len(tries) == 3 and sorted(col.get().ids) == ["a", "b", "c"]
+
+
+def test_stored_codes_serve_filters_and_deletes(db):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((300, 16))
+    col = db.collection("coded", dim=16)
+    col.add(ids=[f"i{i}" for i in range(200)], vectors=x[:200].tolist(), metadatas=[{"k": i % 3} for i in range(200)])
+    col.flush()
+    col.upsert(ids=[f"i{i}" for i in range(150, 300)], vectors=x[150:].tolist(), metadatas=[{"k": i % 3} for i in range(150, 300)])
+    col.delete(ids=["i7", "i8"])
+    col.flush()
+    assert col.health().coherent and col._store.codes(col._store.load()).count() == 298
+    for where in (None, {"k": 1}):
+        want = col.query(vector=x[10].tolist(), k=5, where=where).ids
+        assert col.query(vector=x[10].tolist(), k=5, where=where, approximate=True).ids == want
+    now = col._store.load()
+    wrong = col._store.write(col._store.codes(now).where("uid > 5"), "codes")
+    segment = now.segments[0][0]
+    col._store.commit(dataclasses.replace(now, store_gen=now.store_gen + 1, index_gen=now.store_gen + 1, codes=now.codes | {segment: wrong}))
+    assert not col.health().coherent
+
+
+def test_update_frame(db, spark):
+    col = db.collection("frames", dim=8)
+    col.add(ids=["a", "b"], documents=["x", "y"], vectors=[[1.0] + [0.0] * 7] * 2)
+    col.update_frame(spark.createDataFrame([("b", "z", '{"n":1}')], "id string, document string, metadata string"))
+    got = col.get()
+    assert got.documents == ["x", "z"] and got.metadatas == [{}, {"n": 1}] and got.ids == ["a", "b"]
+    for bad in ([("c", "z")], [("a", "1"), ("a", "2")]):
+        with pytest.raises(ValueError):
+            col.update_frame(spark.createDataFrame(bad, "id string, document string"))

@@ -96,3 +96,9 @@ def test_document_contains(spark):
         with pytest.raises(UnsupportedFilterError):
             compile_where_document(bad)
     assert compile_filters(None, None) is None
+
+
+@pytest.mark.parametrize("key", ["a..b", "a.", ".a", "l[0", "[", "l[x]", "a[0]b", "a$", "*"])
+def test_bad_paths_are_rejected_at_once(key):
+    with pytest.raises(UnsupportedFilterError):
+        compile_where({key: 1})

@@ -197,16 +197,22 @@ class Collection:
     def _search(self, now: Manifest, rows: DataFrame, queries: np.ndarray, k: int, approximate: bool, whole: bool) -> DataFrame:
         if not approximate:
             return search.knn(rows, queries, k)
-        coded = None
-        if whole and now.codes and all(p in now.codes for p, _ in now.segments) and not now.deletes:
-            coded = self.spark.read.schema("uid long, code binary").parquet(*[now.codes[p] for p, _ in now.segments])
-        return search_quantized(rows, queries, k, now.bit_width, coded)
-
-    def query_frame(self, vectors, k: int = 10, where=None, where_document=None) -> DataFrame:
-        """``query_id, rank, id, distance, document, metadata, vector``, lazily; ``vectors`` is a matrix or a DataFrame
-        (query_id, vector) of any size."""
-        rows = self.frame(where, where_document)
-        hits = search.knn_join(rows, vectors, k) if isinstance(vectors, DataFrame) else search.knn(rows, vectors, k)
+        coded = self._store.codes(now)
+        if coded is not None and not whole:
+            coded = coded.join(rows.select("uid"), "uid", "left_semi")
+        return quantize.knn_quantized(rows, queries, k, now.bit_width, coded=coded)
+
+    def query_frame(self, vectors, k: int = 10, where=None, where_document=None, approximate: bool = False) -> DataFrame:
+        """``query_id, rank, id, distance, document, metadata, vector``, lazily; ``vectors`` is a matrix or, for exact
+        search, a DataFrame (query_id, vector) of any size."""
+        now = self._store.load()
+        rows = self._rows(now, where, where_document)
+        if isinstance(vectors, DataFrame):
+            if approximate:
+                raise ValueError("approximate search takes a matrix of queries")
+            hits = search.knn_join(rows, vectors, k)
+        else:
+            hits = self._search(now, rows, np.atleast_2d(np.asarray(vectors, np.float64)), k, approximate, where is None and where_document is None)
         return hits.join(rows, "uid").select("query_id", "rank", "id", "distance", "document", "metadata", "vector")
 
     def candidate_pairs(self, threshold: float = 0.15, k: int = 6) -> DataFrame:
@@ -328,15 +334,17 @@ class Collection:
         def change(current: Manifest) -> Manifest:
             if current.dim is not None and current.dim != dim:
                 raise DimensionMismatchError(f"vectors have width {dim}, the collection has {current.dim}")
+            # One join tells rows that are there from new ones; both are then read from its checkpoint.
             known = self._store.rows(current).select("uid", "id")
-            there = df.select("id").join(known, "id")
-            if not upsert and there.limit(1).count():
+            split = checkpointed(df.join(known, "id", "left"))
+            old = split.where("uid is not null")
+            replaced = bool(old.limit(1).count())
+            if not upsert and replaced:
                 raise ValueError("some ids exist already")
-            new = number_rows(df.join(known.select("id"), "id", "left_anti"), ["_order", "id"], current.next_uid, "uid")
-            old = df.join(known, "id")
-            data = new.select(*schema.ROW.names).unionByName(old.select(*schema.ROW.names)) if upsert else new.select(*schema.ROW.names)
-            segment = self._store.write(data, "segments")
-            return self._next(current, segment, there.select("uid") if upsert else None, dim=dim, next_uid=current.next_uid + new.count())
+            new = number_rows(split.where("uid is null").drop("uid"), ["_order", "id"], current.next_uid, "uid")
+            data = new.select(*schema.ROW.names)
+            segment = self._store.write(data.unionByName(old.select(*schema.ROW.names)) if replaced else data, "segments")
+            return self._next(current, segment, old.select("uid") if replaced else None, dim=dim, next_uid=current.next_uid + new.count())
 
         self._store.update(change)
 
@@ -377,16 +385,28 @@ class Collection:
             raise ValueError(f"{len(values)} values for {len(ids)} ids")
         if not ids:
             return
-        latest = dict(zip(ids, values, strict=True))
+        self.update_frame(self.spark.createDataFrame(list(dict(zip(ids, values, strict=True)).items()), f"id string, {column} string"))
+
+    def update_frame(self, df: DataFrame) -> None:
+        """Replace metadata, documents or both of the rows of a DataFrame (id, and ``metadata`` or ``document``) of any
+        size; ids must be unique and known, or nothing changes."""
+        columns = [c for c in ("document", "metadata") if c in df.columns]
+        if not columns:
+            raise ValueError("give a document or metadata column")
+        new = checkpointed(df.select("id", *[F.coalesce(F.col(c), F.lit("" if c == "document" else "{}")).alias(f"new_{c}") for c in columns]))
+        total, ids = new.agg(F.count(F.lit(1)), F.count_distinct("id")).first()
+        if total != ids:
+            raise ValueError("an id occurs twice, or is null")
+        if not total:
+            return
 
         def change(current: Manifest) -> Manifest:
-            new = self.spark.createDataFrame(list(latest.items()), "id string, new string")
-            old = checkpointed(by_ids(self._store.rows(current), ids))
-            if old.count() != len(latest):
-                known = {r[0] for r in old.select("id").collect()}
-                raise ValueError(f"unknown ids: {[i for i in latest if i not in known][:5]}")
-            changed = old.join(F.broadcast(new) if len(ids) <= 10_000 else new, "id").withColumn(column, F.col("new")).select(*schema.ROW.names)
-            return self._next(current, self._store.write(changed, "segments"), old)
+            joined = checkpointed(new.join(self._store.rows(current), "id", "left"))
+            unknown = [r[0] for r in joined.where("uid is null").select("id").limit(5).collect()]
+            if unknown:
+                raise ValueError(f"unknown ids: {unknown}")
+            changed = joined.withColumns({c: F.col(f"new_{c}") for c in columns}).select(*schema.ROW.names)
+            return self._next(current, self._store.write(changed, "segments"), joined)
 
         self._store.update(change)
 
@@ -459,8 +479,10 @@ class Collection:
 
         self._store.update(change)
 
-    def vacuum(self, keep: int = 20) -> int:
-        return self._store.vacuum(keep)
+    def vacuum(self, keep: int = 20, older_than: float | None = None) -> int:
+        """Remove files that the last ``keep`` generations don't use and that are older than ``older_than`` seconds
+        (a day, so that writes under way keep theirs)."""
+        return self._store.vacuum(keep) if older_than is None else self._store.vacuum(keep, older_than)
 
     def health(self) -> HealthResult:
         """One aggregate over the rows: count, unique ids and uids, widths; and whether the index is up to date."""
@@ -478,9 +500,19 @@ class Collection:
             faults.append(f"{nulls} rows without id or vector")
         if n and top >= now.next_uid:
             faults.append("a row number is beyond the counter")
-        coherent = now.index_gen == now.store_gen and all(p in now.codes for p, _ in now.segments)
+        coherent = now.index_gen == now.store_gen and all(p in now.codes for p, _ in now.segments) and self._codes_match(now)
         return HealthResult(not faults, "ok" if not faults else "; ".join(faults), now.store_gen, now.index_gen, coherent, n, self._store.files.size(self.path))
 
+    def _codes_match(self, now: Manifest) -> bool:
+        """Whether the stored codes belong to the rows: the same uids, each with a code of the right length."""
+        codes = self._store.codes(now)
+        if codes is None:
+            return not now.segments
+        size = (1 << (now.dim - 1).bit_length()) * now.bit_width // 8
+        uids = [F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("uid")), F.lit(0)), F.coalesce(F.sum(F.xxhash64("uid").cast("decimal(20,0)")), F.lit(0))]
+        *mine, whole = codes.agg(*uids, F.coalesce(F.bool_and(F.octet_length("code") == size), F.lit(True))).first()
+        return bool(whole) and mine == list(self._store.rows(now).agg(*uids).first())
+
     def fingerprint(self) -> DataFrame:
         return quantize.fingerprint(self.frame())
 
@@ -497,9 +529,3 @@ class Collection:
             if kind is None:
                 raise
             log.exception("flush failed while another error was on its way")
-
-
-def search_quantized(rows: DataFrame, queries: np.ndarray, k: int, bits: int, coded: DataFrame | None) -> DataFrame:
-    return quantize.knn_quantized(rows, queries, k, bits, coded=coded)
-
-

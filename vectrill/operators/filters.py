@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import json
 import math
+import re
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
@@ -21,6 +22,8 @@ MAX_DEPTH = 10
 MAX_LIST = 900
 _COMPARISONS = ("$eq", "$ne", "$gt", "$gte", "$lt", "$lte")
 _MEMBERSHIP = ("$in", "$nin")
+#: A path is names joined by dots, each with any number of indexes.
+_PATH = re.compile(r"[^.\[\]'\"$*]+(\[\d+\])*(\.[^.\[\]'\"$*]+(\[\d+\])*)*")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -30,6 +33,8 @@ class _Field:
     def __init__(self, metadata: Column, key: str):
         if not isinstance(key, str) or not key:
             raise UnsupportedFilterError(f"a field name must be a non-empty string, got {key!r}")
+        if not _PATH.fullmatch(key):
+            raise UnsupportedFilterError(f"{key!r} is not a path of names (a.b) and indexes (l[0])")
         parsed = F.try_parse_json(metadata)
         path = "$." + key
         value = F.try_variant_get(parsed, path, "variant")

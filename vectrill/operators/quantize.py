@@ -62,9 +62,19 @@ def encode(x: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(planes.reshape(len(x), -1), axis=1, bitorder="little")
 
 
+@functools.lru_cache(maxsize=8)
+def _byte_levels(bits: int) -> np.ndarray:
+    """For each byte the levels of the ``8 / bits`` components it holds, lowest bits first."""
+    return np.stack([levels(bits)[np.arange(256) >> k & ((1 << bits) - 1)] for k in range(0, 8, bits)], axis=1).astype(np.float32)
+
+
 def decode(packed: np.ndarray, bits: int, width: int) -> np.ndarray:
+    """Levels in single precision, which is plenty for candidates; a byte is looked up at once where components don't
+    cross bytes."""
+    if 8 % bits == 0:
+        return _byte_levels(bits)[packed].reshape(len(packed), -1)[:, :width]
     planes = np.unpackbits(packed, axis=1, bitorder="little")[:, : width * bits].reshape(len(packed), width, bits)
-    return levels(bits)[(planes << np.arange(bits, dtype=np.uint8)).sum(axis=2)]
+    return levels(bits).astype(np.float32)[(planes << np.arange(bits, dtype=np.uint8)).sum(axis=2)]
 
 
 def codes(rows: DataFrame, bits: int = 4) -> DataFrame:
@@ -83,7 +93,7 @@ def codes(rows: DataFrame, bits: int = 4) -> DataFrame:
 def candidates(coded: DataFrame, queries, pool: int, bits: int = 4) -> DataFrame:
     """``query_id, uid, distance`` (estimated) of the ``pool`` best codes for each query."""
     q = np.atleast_2d(np.asarray(queries, np.float64))
-    turned, ids = _units(rotate(_units(q))), np.arange(len(q))
+    turned, ids = _units(rotate(_units(q))).astype(np.float32), np.arange(len(q))
 
     def run(batches):
         for b in batches:

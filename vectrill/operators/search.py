@@ -45,7 +45,7 @@ def _hits(ids: np.ndarray, found: tuple):
     import pyarrow as pa
 
     q, uids, away = found
-    return pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(uids), pa.array(away)], ["query_id", "uid", "distance"])
+    return pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(uids), pa.array(away.astype(np.float64, copy=False))], ["query_id", "uid", "distance"])
 
 
 def top(hits: DataFrame, k: int) -> DataFrame:

@@ -1,22 +1,28 @@
 """Registered queries of the collection engine, each with the SQL it must agree with.
 
-Virtual collections over the driver's tables: vectors are ``embeddings`` (uid = vec_id, metadata ``{"label": ...}``),
-texts are ``documents`` (uid = doc_id, metadata lang, source, n_chars), events carry their ``props`` as metadata.
-Changes are shown as the rows that a collection would hold afterwards, by the same merge that storage applies.
+Collections are written from the driver's whole tables into the shared folder: vectors are ``embeddings`` (id = vec_id,
+metadata ``{"label": ...}``), texts are ``documents`` (id = doc_id, whole texts, metadata lang, source, n_chars, embedded by a
+toy function). Queries and changes go through ``Collection``. The filter language is shown on plain rows as well: events
+carry their ``props`` as metadata.
 """
 
 from __future__ import annotations
 
 import functools
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..collection import Collection
+from ..functions.numbering import number_rows
 from ..functions.vectors import cosine_distance, dot, matrix, normalize, round5
-from ..operators import filters, mutations, quantize, search
+from ..operators import filters, quantize, search
+from ..sources.storage import Store, shared_folder
 
-QUERIES_BELOW = 20
+#: Queries of a search: every vector whose id is divisible by this.
+EVERY = 100
 K = 10
 PAIR_DISTANCE = 0.8
 
@@ -39,9 +45,40 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "events").select(F.col("event_id").alias("uid"), F.col("props").alias("metadata"))
 
 
-def _query_matrix(rows: DataFrame) -> tuple[np.ndarray, list[int]]:
-    """The stated query set: vectors with a uid below 20."""
-    q = rows.where(F.col("uid") < QUERIES_BELOW).select("uid", "vector").orderBy("uid").toArrow()
+def _toy_embedder(texts_):
+    """Width 8: the length of the text, and ones."""
+    return np.array([[len(t), 1, 1, 1, 1, 1, 1, 1] for t in texts_], np.float32)
+
+
+def _other_embedder(texts_):
+    """Width 16: one more than the length, and twos."""
+    return np.array([[len(t) + 1, *[2] * 15] for t in texts_], np.float32)
+
+
+_WRITTEN: dict[tuple, str] = {}
+
+
+def _stored(spark: SparkSession, sf: str, kind: str, fork: bool = False) -> Collection:
+    """The collection of all ``vectors`` or ``texts``, written once a session and table folder. A change works on a fork:
+    a new collection whose first generation names the same immutable segments."""
+    key = (spark.sparkContext.applicationId, sf, kind)
+    embedder = _toy_embedder if kind == "texts" else None
+    if key not in _WRITTEN:
+        path = f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}/{kind}"
+        col = Collection(spark, path, embedder=embedder)
+        rows = texts(spark, sf) if kind == "texts" else vectors(spark, sf)
+        col.add_frame(rows.withColumn("id", F.col("uid").cast("string")), order="uid")
+        col.flush()
+        _WRITTEN[key] = path
+    if not fork:
+        return Collection(spark, _WRITTEN[key], embedder=embedder)
+    path = f"{_WRITTEN[key]}-{uuid.uuid4().hex}"
+    Store(spark, path).commit(Store(spark, _WRITTEN[key]).load())
+    return Collection(spark, path, embedder=embedder)
+
+
+def _query_matrix(spark: SparkSession, sf: str) -> tuple[np.ndarray, list[int]]:
+    q = vectors(spark, sf).where(F.col("uid") % EVERY == 0).select("uid", "vector").orderBy("uid").toArrow()
     return matrix(q.column("vector")), q.column("uid").to_pylist()
 
 
@@ -49,11 +86,11 @@ def _shown(hits: DataFrame) -> DataFrame:
     return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "uid", round5(F.col("distance")).alias("distance"))
 
 
-def _knn(spark, sf, where=None) -> DataFrame:
-    rows = vectors(spark, sf)
-    q, ids = _query_matrix(rows)
-    condition = filters.compile_where(where)
-    return _shown(search.knn(rows if condition is None else rows.where(condition), q, K, ids))
+def _knn(spark, sf, where=None, approximate=False) -> DataFrame:
+    q, ids = _query_matrix(spark, sf)
+    hits = _stored(spark, sf, "vectors").query_frame(q, K, where=where, approximate=approximate)
+    names = F.array(*[F.lit(i) for i in ids])
+    return _shown(hits.withColumns({"query_id": F.get(names, F.col("query_id").cast("int")), "uid": F.col("id").cast("long")}))
 
 
 def q_knn(spark, sf):
@@ -62,7 +99,7 @@ def q_knn(spark, sf):
 
 def q_knn_expr(spark, sf):
     rows = vectors(spark, sf)
-    return _shown(search.knn_expr(rows, rows.where(F.col("uid") < QUERIES_BELOW).select(F.col("uid").alias("query_id"), "vector"), K))
+    return _shown(search.knn_expr(rows, rows.where(F.col("uid") % EVERY == 0).select(F.col("uid").alias("query_id"), "vector"), K))
 
 
 def q_knn_join(spark, sf):
@@ -82,37 +119,44 @@ def q_knn_in(spark, sf):
 def q_knn_doc(spark, sf):
     docs = texts(spark, sf)
     rows = vectors(spark, sf)
-    q, ids = _query_matrix(rows)
+    q, ids = _query_matrix(spark, sf)
     kept = docs.where(filters.compile_where_document({"$contains": "the"})).select("uid")
     return _shown(search.knn(rows.join(kept, "uid"), q, K, ids))
 
 
 def q_knn_quantized(spark, sf):
-    rows = vectors(spark, sf)
-    q, ids = _query_matrix(rows)
-    hits = quantize.knn_quantized(rows, q, K, 4)
-    names = F.array(*[F.lit(i) for i in ids])
-    return _shown(hits.withColumn("query_id", F.get(names, F.col("query_id").cast("int"))))
+    return _knn(spark, sf, approximate=True)
+
+
+def q_knn_quantized_filter(spark, sf):
+    return _knn(spark, sf, {"label": {"$gte": 5}}, approximate=True)
 
 
 def q_recall(spark, sf):
-    rows = vectors(spark, sf)
-    q, _ = _query_matrix(rows)
-    found = search.recall_at_k(quantize.knn_quantized(rows, q, K, 4), search.knn(rows, q, K), K)
-    return found.select((F.col("recall") >= 0.95).alias("recall_reached"))
+    """How many of the true neighbours of all queries the codes found."""
+    exact, found = _knn(spark, sf), _knn(spark, sf, approximate=True)
+    hits = exact.select("query_id", "uid").join(found.select("query_id", "uid", F.lit(1).alias("hit")), ["query_id", "uid"], "left")
+    return hits.agg(F.count(F.lit(1)).alias("n_true"), F.count("hit").alias("n_found"))
 
 
 def q_pairs(spark, sf):
     return search.candidate_pairs(vectors(spark, sf), PAIR_DISTANCE, 6)
 
 
+def _as_rows(spark, found) -> DataFrame:
+    return spark.createDataFrame(list(zip(found.ids, found.documents, strict=True)), "id string, document string")
+
+
 def q_get_page(spark, sf):
-    return texts(spark, sf).orderBy("uid").offset(20).limit(50).select("uid", "document")
+    return _as_rows(spark, _stored(spark, sf, "texts").get(limit=50, offset=20))
 
 
 def q_get_ids(spark, sf):
-    rows = texts(spark, sf).withColumn("id", F.col("uid").cast("string"))
-    return filters.by_ids(rows, ["3", "17", "5", "3", "no such id"]).select("id", "document")
+    return _as_rows(spark, _stored(spark, sf, "texts").get(ids=["3", "17", "5", "3", "no such id"]))
+
+
+def q_get_where(spark, sf):
+    return _as_rows(spark, _stored(spark, sf, "texts").get(ids=[str(i) for i in range(0, 200, 2)], where={"lang": "en"}, where_document={"$contains": "The"}))
 
 
 def _filtered(where, spark, sf):
@@ -156,7 +200,7 @@ def _contains(needle, spark, sf):
 
 
 def q_count(spark, sf):
-    return texts(spark, sf).agg(F.count(F.lit(1)).alias("n"))
+    return spark.createDataFrame([(_stored(spark, sf, "texts").count(),)], "n long")
 
 
 def q_norm(spark, sf):
@@ -170,78 +214,94 @@ def q_distance(spark, sf):
     return rows.crossJoin(F.broadcast(first)).select("uid", round5(cosine_distance("vector", "q")).alias("distance"))
 
 
-def _base(spark, sf) -> DataFrame:
-    return texts(spark, sf).where("uid < 100").select("uid", F.col("uid").cast("string").alias("id"), F.substring("document", 1, 20).alias("document"))
+def _fresh(spark, sf) -> DataFrame:
+    """Every document again, under another id."""
+    return texts(spark, sf).select("uid", F.concat(F.lit("n"), "uid").alias("id"), F.concat(F.lit("new "), "document").alias("document"))
+
+
+def _half(spark, sf) -> DataFrame:
+    """Every document with another text: even ones under their own id, odd ones under another."""
+    d = _fresh(spark, sf)
+    return d.withColumn("id", F.when(F.col("uid") % 2 == 0, F.col("uid").cast("string")).otherwise(F.col("id")))
 
 
-def _batch(spark, sf) -> DataFrame:
-    """Rows 50 to 149 again, with other texts."""
-    d = texts(spark, sf).where("uid >= 50 and uid < 150")
-    return d.select(F.col("uid").alias("ordinal"), F.col("uid").cast("string").alias("id"), F.concat(F.lit("new "), F.substring("document", 1, 5)).alias("document"))
+def _held(col: Collection) -> DataFrame:
+    return col.frame().select("uid", "id", "document")
 
 
 def q_add(spark, sf):
-    fresh = _batch(spark, sf).join(_base(spark, sf).select("id"), "id", "left_anti")
-    return mutations.insert(_base(spark, sf), fresh, "ordinal", 100)
+    col = _stored(spark, sf, "texts", fork=True)
+    col.add_frame(_fresh(spark, sf), order="uid")
+    return _held(col)
 
 
 def q_upsert(spark, sf):
-    return mutations.upsert(_base(spark, sf), _batch(spark, sf), "ordinal", 100)
+    col = _stored(spark, sf, "texts", fork=True)
+    col.upsert_frame(_half(spark, sf), order="uid")
+    return _held(col)
 
 
 def q_upsert_dedup(spark, sf):
-    twice = _batch(spark, sf).union(_batch(spark, sf).select(F.col("ordinal") + 1000, "id", F.lit("last")))
-    return mutations.last_wins(twice, "id", "ordinal").select("id", "document")
+    """Every id twice in a batch: the last one counts."""
+    col = _stored(spark, sf, "texts", fork=True)
+    batch = _half(spark, sf)
+    col.upsert_frame(batch.union(batch.select(F.col("uid") + (1 << 40), "id", F.concat(F.lit("last "), "document"))), order="uid")
+    return _held(col)
 
 
 def q_delete_where(spark, sf):
-    return mutations.delete(texts(spark, sf), filters.compile_where({"lang": "en"})).select("uid")
+    col = _stored(spark, sf, "texts", fork=True)
+    col.delete(where={"lang": "en"})
+    return col.frame().select("uid")
 
 
 def q_delete_ids(spark, sf):
-    rows = texts(spark, sf).withColumn("id", F.col("uid").cast("string"))
-    return mutations.delete(rows, F.col("id").isin("1", "2", "3")).select("uid")
+    col = _stored(spark, sf, "texts", fork=True)
+    col.delete(ids=["1", "2", "3"])
+    return col.frame().select("uid")
 
 
 def q_clear(spark, sf):
-    return mutations.delete(texts(spark, sf), F.lit(True)).agg(F.count(F.lit(1)).alias("n"))
+    """Cleared and filled again: none of the old rows is left, and numbering goes on."""
+    col = _stored(spark, sf, "texts", fork=True)
+    col.clear()
+    col.add_frame(_fresh(spark, sf), order="uid")
+    return _held(col)
 
 
 def q_update_metadata(spark, sf):
-    changes = texts(spark, sf).where("uid % 3 = 0").select("uid", F.lit('{"seen":1}').alias("metadata"))
-    return mutations.replace(texts(spark, sf).select("uid", "metadata"), changes, "uid", "metadata")
+    col = _stored(spark, sf, "texts", fork=True)
+    col.update_frame(texts(spark, sf).where("uid % 3 = 0").select(F.col("uid").cast("string").alias("id"), F.lit('{"seen":1}').alias("metadata")))
+    return col.frame().select("uid", "metadata")
 
 
 def q_update_document(spark, sf):
-    changes = texts(spark, sf).where("uid % 5 = 0").select("uid", F.lit("changed").alias("document"))
-    return mutations.replace(texts(spark, sf).select("uid", "document"), changes, "uid", "document")
+    col = _stored(spark, sf, "texts", fork=True)
+    col.update_frame(texts(spark, sf).where("uid % 5 = 0").select(F.col("uid").cast("string").alias("id"), F.lit("changed").alias("document")))
+    return _held(col)
 
 
 def q_uid_alloc(spark, sf):
-    from ..functions.numbering import number_rows
-
-    rows = texts(spark, sf).where("uid % 2 = 0").select(F.col("uid").alias("ordinal"))
-    return number_rows(rows, ["ordinal"], 1000, "new_uid")
-
-
-def _toy_embedder(texts_):
-    """Width 8: the length of the text, and ones."""
-    return np.array([[len(t), 1, 1, 1, 1, 1, 1, 1] for t in texts_], np.float32)
+    return number_rows(texts(spark, sf).select(F.col("uid").alias("ordinal")), ["ordinal"], 1000, "new_uid")
 
 
 def q_reembed(spark, sf):
-    from ..operators.embed import embed_frame
-
-    rows = texts(spark, sf).withColumn("document", F.when(F.col("uid") % 10 == 0, "").otherwise(F.substring("document", 1, 50)))
-    new = embed_frame(rows.where("document <> ''").select("uid", "document"), _toy_embedder, 8)
-    return new.select("uid", F.round(F.get("vector", F.lit(0)).cast("double"), 4).alias("first"))
+    """Another embedder and width over all texts; every tenth was emptied before and is dropped."""
+    col = _stored(spark, sf, "texts", fork=True)
+    col.update_frame(texts(spark, sf).where("uid % 10 = 0").select(F.col("uid").cast("string").alias("id"), F.lit("").alias("document")))
+    col.reembed(_other_embedder, skip_empty="drop")
+    return col.frame().select("uid", F.size("vector").cast("long").alias("width"), F.round(F.get("vector", F.lit(0)).cast("double"), 4).alias("first"))
 
 
 def q_health(spark, sf):
-    rows = vectors(spark, sf)
-    return rows.agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("uid").alias("n_ids"), F.min(F.size("vector")).cast("long").alias("low"), F.max(F.size("vector")).cast("long").alias("high"), F.count_if(F.col("vector").isNull()).alias("n_null")
-    )
+    """Of a collection with replaced and deleted rows whose codes are up to date."""
+    col = _stored(spark, sf, "texts", fork=True)
+    col.upsert_frame(_half(spark, sf), order="uid")
+    col.delete(ids=["0"])
+    stale = col.health().coherent
+    col.flush()
+    h = col.health()
+    return spark.createDataFrame([(h.doc_count, h.ok, h.quick_check, stale, h.coherent)], "n long, ok boolean, quick_check string, coherent_before boolean, coherent boolean")
 
 
 def q_fingerprint(spark, sf):
@@ -250,7 +310,7 @@ def q_fingerprint(spark, sf):
 
 def queries() -> dict:
     plain = (
-        q_knn, q_knn_expr, q_knn_join, q_knn_filter, q_knn_in, q_knn_doc, q_knn_quantized, q_recall, q_pairs, q_get_page, q_get_ids, q_filter_missing,
+        q_knn, q_knn_expr, q_knn_join, q_knn_filter, q_knn_in, q_knn_doc, q_knn_quantized, q_knn_quantized_filter, q_recall, q_pairs, q_get_page, q_get_ids, q_get_where, q_filter_missing,
         q_count, q_norm, q_distance, q_add, q_upsert, q_upsert_dedup, q_delete_where, q_delete_ids, q_clear, q_update_metadata, q_update_document, q_uid_alloc, q_reembed, q_health, q_fingerprint,
     )
     out = {f.__name__: f for f in plain}
@@ -263,7 +323,11 @@ _DIST = "round(1 - list_cosine_similarity(q.embedding::double[], e.embedding::do
 _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-def _knn_sql(rows: str = "embeddings", where: str = "true", queries: str = "vec_id < 20", k: int = K) -> str:
+#: Vectors as a collection holds them: at length 1 in single precision.
+_UNIT = "(select vec_id, label, list_transform(embedding::double[], lambda x: (x / sqrt(list_dot_product(embedding::double[], embedding::double[])))::float) as embedding from embeddings)"
+
+
+def _knn_sql(rows: str = "embeddings", where: str = "true", queries: str = f"vec_id % {EVERY} = 0", k: int = K) -> str:
     return f"""
 select query_id, rank, uid, distance from (
   select q.vec_id as query_id, e.vec_id as uid, {_DIST} as distance,
@@ -272,43 +336,51 @@ select query_id, rank, uid, distance from (
 ) where rank <= {k}"""
 
 
-_BASE = "select doc_id as uid, doc_id::varchar as id, substring(text, 1, 20) as document from documents where doc_id < 100"
-_BATCH = "select doc_id as ordinal, doc_id::varchar as id, 'new ' || substring(text, 1, 5) as document from documents where doc_id >= 50 and doc_id < 150"
+_RANKED = "(select doc_id, text, row_number() over (order by doc_id) - 1 as r, count(*) over () as n from documents)"
+
+
+def _upserted(text: str) -> str:
+    """Even documents replaced in place, odd ones added after all others, in their order."""
+    return f"""
+select r as uid, doc_id::varchar as id, case when doc_id % 2 = 0 then {text} else coalesce(text, '') end as document from {_RANKED}
+union all select n + row_number() over (order by doc_id) - 1, 'n' || doc_id, {text} from {_RANKED} where doc_id % 2 <> 0"""
 
 
 def oracle_sql() -> dict[str, str]:
     contains = f"(select e.* from embeddings e join documents d on d.doc_id = e.vec_id where contains({_FOLD}, 'the'))"
     out = {
-        "q_knn": _knn_sql(),
+        "q_knn": _knn_sql(_UNIT),
         "q_knn_expr": _knn_sql(),
         "q_knn_join": _knn_sql(queries="true", k=3),
-        "q_knn_filter": _knn_sql(where="label = 3"),
-        "q_knn_in": _knn_sql(where="label in (1, 2, 7)"),
+        "q_knn_filter": _knn_sql(_UNIT, "label = 3"),
+        "q_knn_in": _knn_sql(_UNIT, "label in (1, 2, 7)"),
         "q_knn_doc": _knn_sql(rows=contains),
-        "q_knn_quantized": _knn_sql(),
-        "q_recall": "select true as recall_reached",
+        "q_knn_quantized": _knn_sql(_UNIT),
+        "q_knn_quantized_filter": _knn_sql(_UNIT, "label >= 5"),
+        "q_recall": f"select count(*) as n_true, count(*) as n_found from ({_knn_sql()})",
         "q_pairs": f"""
 with near as ({_knn_sql(queries="true", k=6)})
 select least(query_id, uid) as a, greatest(query_id, uid) as b, min(distance) as distance from near where query_id <> uid and distance <= {PAIR_DISTANCE} group by 1, 2""",
-        "q_get_page": "select doc_id as uid, text as document from documents order by doc_id limit 50 offset 20",
+        "q_get_page": "select doc_id::varchar as id, text as document from documents order by doc_id limit 50 offset 20",
         "q_get_ids": "select doc_id::varchar as id, text as document from documents where doc_id in (3, 17, 5)",
+        "q_get_where": f"select doc_id::varchar as id, text as document from documents where doc_id < 200 and doc_id % 2 = 0 and lang = 'en' and contains({_FOLD}, 'the')",
         "q_filter_missing": "select 0::bigint as n_ne, 0::bigint as n_nin",
         "q_doc_contains": f"select doc_id as uid from documents where contains({_FOLD}, 'the')",
         "q_doc_contains_escape": "select doc_id as uid from documents where contains(text, '%')",
         "q_count": "select count(*) as n from documents",
         "q_norm": "select vec_id as uid, round(sqrt(list_dot_product(v, v)), 5) as norm, round(v[1], 4) as first from (select vec_id, list_transform(embedding::double[], lambda x: x / sqrt(list_dot_product(embedding::double[], embedding::double[]))) as v from embeddings)",
         "q_distance": f"select e.vec_id as uid, {_DIST} as distance from embeddings e cross join (select * from embeddings where vec_id = 0) as q",
-        "q_add": f"select * from ({_BASE}) union all select ordinal as uid, id, document from ({_BATCH}) where ordinal >= 100",
-        "q_upsert": f"select b.uid, b.id, coalesce(n.document, b.document) as document from ({_BASE}) b left join ({_BATCH}) n on n.id = b.id union all select ordinal, id, document from ({_BATCH}) where ordinal >= 100",
-        "q_upsert_dedup": f"select id, 'last' as document from ({_BATCH})",
+        "q_add": f"select r as uid, doc_id::varchar as id, coalesce(text, '') as document from {_RANKED} union all select n + r, 'n' || doc_id, 'new ' || text from {_RANKED}",
+        "q_upsert": _upserted("'new ' || text"),
+        "q_upsert_dedup": _upserted("'last new ' || text"),
         "q_delete_where": "select doc_id as uid from documents where lang <> 'en'",
         "q_delete_ids": "select doc_id as uid from documents where doc_id not in (1, 2, 3)",
-        "q_clear": "select 0::bigint as n",
+        "q_clear": f"select n + r as uid, 'n' || doc_id as id, 'new ' || text as document from {_RANKED}",
         "q_update_metadata": """select doc_id as uid, case when doc_id % 3 = 0 then '{"seen":1}' else '{"lang":"' || lang || '","source":"' || source || '","n_chars":' || n_chars || '}' end as metadata from documents""",
-        "q_update_document": "select doc_id as uid, case when doc_id % 5 = 0 then 'changed' else text end as document from documents",
-        "q_uid_alloc": "select doc_id as ordinal, 999 + row_number() over (order by doc_id) as new_uid from documents where doc_id % 2 = 0",
-        "q_reembed": "select doc_id as uid, round((n / sqrt(n * n + 7))::float::double, 4) as first from (select doc_id, length(substring(text, 1, 50))::double as n from documents where doc_id % 10 <> 0 and text <> '')",
-        "q_health": "select count(*) as n, count(distinct vec_id) as n_ids, min(len(embedding))::bigint as low, max(len(embedding))::bigint as high, count(*) filter (where embedding is null) as n_null from embeddings",
+        "q_update_document": "select doc_id as uid, doc_id::varchar as id, case when doc_id % 5 = 0 then 'changed' else text end as document from documents",
+        "q_uid_alloc": "select doc_id as ordinal, 999 + row_number() over (order by doc_id) as new_uid from documents",
+        "q_reembed": "select doc_id as uid, 16::bigint as width, round((n / sqrt(n * n + 60))::float::double, 4) as first from (select doc_id, length(text)::double + 1 as n from documents where doc_id % 10 <> 0 and text <> '')",
+        "q_health": "select count(*) + count(*) filter (where doc_id % 2 <> 0) - 1 as n, true as ok, 'ok' as quick_check, false as coherent_before, true as coherent from documents",
     }
     k = "(select event_id as uid, cast(json_extract(props, '$.k') as double) as k from events)"
     out |= {name: f"select uid from {k} where {sql}" for name, (_, sql) in EVENT_FILTERS.items()}

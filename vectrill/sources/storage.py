@@ -22,15 +22,29 @@ from ..schema import ROW, Manifest
 
 KEEP_MANIFESTS = 20
 STALE_CLAIM_S = 60
+#: Files younger than this may belong to a write that hasn't been committed yet.
+YOUNG_S = 24 * 3600
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vectrill-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the checkpoint folder, or on one machine a temporary one."""
+    sc = spark.sparkContext
+    there = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if there is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        there = tempfile.mkdtemp(prefix="vectrill-")
+        sc.setCheckpointDir(there)
+    return there
+
+
 class Files:
     """The few file operations that the catalog needs, over Hadoop's FileSystem."""
 
@@ -90,6 +104,12 @@ class Files:
             if "FileNotFound" not in str(e) and "does not exist" not in str(e):
                 raise
 
+    def age(self, path: str) -> float:
+        """Seconds since the newest change of an entry or of what it holds directly."""
+        top = self.fs.getFileStatus(self._path(path))
+        times = [top.getModificationTime(), *(x.getModificationTime() for x in self.fs.listStatus(self._path(path)))]
+        return time.time() - max(times) / 1000
+
     def delete(self, path: str) -> bool:
         return self.fs.delete(self._path(path), True)
 
@@ -139,7 +159,8 @@ class Store:
             new = change(current)
             if new is None:
                 return current
-            if self.commit(new):
+            # A file that somebody took away meanwhile must not be committed; the write is worked out again.
+            if all(self.files.exists(p) for p in self._paths(new) - self._paths(current)) and self.commit(new):
                 return new
             if time.monotonic() > deadline:
                 raise WriteConflictError(f"could not commit to {self.path} within {self.lock_timeout} s: other writers came first")
@@ -154,36 +175,54 @@ class Store:
         df.write.parquet(path)
         return path
 
+    @staticmethod
+    def _paths(manifest: Manifest) -> set[str]:
+        return {p for p, _ in manifest.segments} | {p for p, _ in manifest.deletes} | set(manifest.codes.values())
+
+    def _stamped(self, entries: list, schema, columns: list[str], stamp: str) -> DataFrame:
+        """All entries ``[path, generation]`` in one scan, with their generation; the manifest bounds their number."""
+        paths, stamps = [e[0] for e in entries], {e[0].rsplit("/", 1)[1]: e[1] for e in entries}
+        rows = self.spark.read.schema(schema).parquet(*paths)
+        rows = rows.select(*columns, F.regexp_extract(F.col("_metadata.file_path"), "/([0-9a-f]{32})/[^/]*$", 1).alias("_entry"))
+        known = self.spark.createDataFrame(list(stamps.items()), f"_entry string, {stamp} long")
+        return rows.join(F.broadcast(known), "_entry").drop("_entry")
+
+    def _live(self, manifest: Manifest, entries: list, schema, columns: list[str]) -> DataFrame:
+        """Without deletes this is a plain scan: filters and columns reach Parquet."""
+        if not manifest.deletes:
+            return self.spark.read.schema(schema).parquet(*[p for p, _ in entries]).select(*columns)
+        rows = self._stamped(entries, schema, columns, "_gen")
+        gone = self._stamped(manifest.deletes, "uid long", ["uid"], "before").groupBy("uid").agg(F.max("before").alias("before"))
+        hidden = (rows["uid"] == gone["uid"]) & (rows["_gen"] < gone["before"])
+        return rows.join(gone, hidden, "left_anti").select(*columns)
+
     def rows(self, manifest: Manifest) -> DataFrame:
-        """Live rows of a generation. Without deletes this is a plain scan: filters and columns reach Parquet."""
+        """Live rows of a generation."""
         if not manifest.segments:
             return self.spark.createDataFrame([], ROW)
-        parts = [self.spark.read.schema(ROW).parquet(p).withColumn("_gen", F.lit(g)) for p, g in manifest.segments]
-        if not manifest.deletes:
-            all_rows = self.spark.read.schema(ROW).parquet(*[p for p, _ in manifest.segments])
-            return all_rows
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.unionByName(p)
-        gone = self.spark.read.schema("uid long").parquet(manifest.deletes[0][0]).withColumn("before", F.lit(manifest.deletes[0][1]))
-        for path, g in manifest.deletes[1:]:
-            gone = gone.unionByName(self.spark.read.schema("uid long").parquet(path).withColumn("before", F.lit(g)))
-        gone = gone.groupBy("uid").agg(F.max("before").alias("before"))
-        hidden = (rows["uid"] == gone["uid"]) & (rows["_gen"] < gone["before"])
-        return rows.join(gone, hidden, "left_anti").select(*ROW.names)
+        return self._live(manifest, manifest.segments, ROW, ROW.names)
 
-    def vacuum(self, keep: int = KEEP_MANIFESTS) -> int:
-        """Remove files that none of the last ``keep`` generations refers to; the number of removed entries."""
+    def codes(self, manifest: Manifest) -> DataFrame | None:
+        """Live codes (uid, code) of a generation; None if some segment has none yet."""
+        if not manifest.segments or not all(p in manifest.codes for p, _ in manifest.segments):
+            return None
+        return self._live(manifest, [[manifest.codes[p], g] for p, g in manifest.segments], "uid long, code binary", ["uid", "code"])
+
+    def vacuum(self, keep: int = KEEP_MANIFESTS, older_than: float = YOUNG_S) -> int:
+        """Remove files that none of the last ``keep`` generations refers to; the number of removed entries.
+
+        Files younger than ``older_than`` seconds stay: a writer under way may be about to commit them.
+        """
         found = self.generations()
         live: set[str] = set()
         for g in found[-keep:]:
-            m = Manifest.load(self.files.read(f"{self.path}/_manifest/{g}.json"))
-            live |= {p for p, _ in m.segments} | {p for p, _ in m.deletes} | set(m.codes.values())
+            live |= self._paths(Manifest.load(self.files.read(f"{self.path}/_manifest/{g}.json")))
         removed = 0
         for kind in ("segments", "deletes", "codes"):
             for name in self.files.names(f"{self.path}/{kind}"):
-                if f"{self.path}/{kind}/{name}" not in live:
-                    removed += self.files.delete(f"{self.path}/{kind}/{name}")
+                path = f"{self.path}/{kind}/{name}"
+                if path not in live and (older_than <= 0 or self.files.age(path) >= older_than):
+                    removed += self.files.delete(path)
         for g in found[:-keep]:
             removed += self.files.delete(f"{self.path}/_manifest/{g}.json")
             self.files.delete(f"{self.path}/_manifest/{g}.json.claim")
