@@ -105,6 +105,23 @@ def test_chat_edges(spark):
     assert len(out[2].turns[0].text) == 200_000
 
 
+def test_roles_are_kept_and_reversible(spark):
+    """Other names of roles are renamed in their own layout only, and any role comes back, line breaks included."""
+    roles = ["human", "bot", "gpt", "us\ner", "\n", "<|newline|>", "<\\|newline|>\n", "<\n|newline|>", "\\n", "assistant\n", "a\\\nb"]
+    rows = [(1, i, r, f"t{i}\n") for i, r in enumerate(roles)]
+    out = chat.format_chats(chat.records_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    r = out.withColumns({"back": chat.read_back(F.col("formatted")), "learned": chat.learned_text(F.col("formatted"), F.col("loss_runs"))}).first()
+    assert [(t.role, t.text) for t in r.back] == [(r, f"t{i}\n") for i, r in enumerate(roles)] and r.learned == ""
+    assert sum(x.skip + x.learn + x.close for x in r.loss_runs) == len(r.formatted)
+
+
+def test_record_beyond_a_variant(spark):
+    rows = spark.range(1).selectExpr("1L as conv_id", "0L as turn", "'assistant' as role", "repeat(concat('abcdefghi', cast(id as string)), 5000000) as text")
+    d = chat.records_of(rows.union(spark.sql("select 1L, 1L, 'user', 'end'")))
+    r = chat.format_chats(d).select("layout", F.size("turns").alias("n"), F.length(F.get("turns", F.lit(0))["text"]).alias("k"), F.length("formatted").alias("m")).first()
+    assert (r.layout, r.n, r.k) == ("messages", 2, 50_000_000) and r.m > r.k
+
+
 # ---- embeddings ------------------------------------------------------------------------------------------------------
 
 

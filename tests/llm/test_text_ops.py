@@ -275,6 +275,13 @@ def test_sharding(spark, odd, empty):
     assert set(sizes) == set(range(8)) and max(sizes.values()) - min(sizes.values()) <= 0.02 * sum(sizes.values()) / 8 + 2 * max(r.size for r in got)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert all(max(s) - min(s) == len(s) - 1 for s in groups.values())
+    small = [t for i in range(900) for t in [prose(random.Random(i), 12)] * 3]
+    groups = {}
+    sizes = Counter()
+    for r in sharding.shard(table(spark, small), 12).collect():
+        groups.setdefault(small[r.doc_id], set()).add(r.shard)
+        sizes[r.shard] += r.size
+    assert all(len(g) == 1 for g in groups.values()) and max(sizes.values()) < 1.04 * min(sizes.values())
     for df in (odd, empty):
         out = sharding.shard(df, 4).collect()
         assert len(out) == df.count()

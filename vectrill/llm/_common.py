@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import functools
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.storage import shared_folder
+
 #: A word is a maximal run of anything but ASCII white space.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 #: Spark's size for what has none is the largest long.
@@ -17,10 +18,10 @@ SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; only where none is set (tests) fall back to a folder of our own."""
+    """Use the cluster's ``spark.checkpoint.dir``; only where none is set, on one machine, a folder of our own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vectrill-ckpt-"))
+        sc.setCheckpointDir(shared_folder(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:

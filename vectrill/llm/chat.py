@@ -14,11 +14,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: From about this size on, Spark can't hold a record as a VARIANT.
+VARIANT_BYTES = 8 << 20
 TURNS = "array<struct<role:string,text:string>>"
 OPEN, MIDDLE, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
 #: Control strings of this template and of others a text may have been copied from. Group 1 is their first character,
 #: group 2 the escapes so far; one more backslash is put after the first character and one is taken out to undo it.
-_CONTROL = r"(\|im_start\|>|\|im_end\|>|\|system\|>|\|user\|>|\|assistant\|>|\|endoftext\|>|/?s>|/?INST\]|</?SYS>>)"
+_CONTROL = r"(\|im_start\|>|\|im_end\|>|\|newline\|>|\|system\|>|\|user\|>|\|assistant\|>|\|endoftext\|>|/?s>|/?INST\]|</?SYS>>)"
 ESCAPE = r"([<\[])(\\*)" + _CONTROL
 UNESCAPE = r"([<\[])\\(\\*)" + _CONTROL
 
@@ -31,13 +33,26 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, UNESCAPE, r"$1$2$3")
 
 
+#: Stands for a line break in a role, where a bare one ends the role.
+NEWLINE = "<|newline|>"
+
+
+def escape_role(role: Column) -> Column:
+    return F.replace(escape(role), F.lit("\n"), F.lit(NEWLINE))
+
+
+def unescape_role(role: Column) -> Column:
+    return unescape(F.replace(role, F.lit(NEWLINE), F.lit("\n")))
+
+
 @dataclass(frozen=True)
 class Mapping:
     """Where a layout keeps its turns.
 
     ``steps`` are tried in order. ("turns", path, role field, text field) yields one turn for each element of an array;
     ("turn", role, path, ...) yields one turn of that role with the texts at the paths joined by an empty line, if one
-    of them has any. ``required`` fields are in every record, ``optional`` ones may be missing.
+    of them has any. ``required`` fields are in every record, ``optional`` ones may be missing. ``roles`` renames the layout's own
+    names of roles; others stay as they are.
     """
 
     name: str
@@ -54,7 +69,7 @@ class Mapping:
 ALIASES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "chatgpt": "assistant"}
 MAPPINGS = (
     Mapping("messages", ("messages", "messages[].role", "messages[].content"), (("turns", "messages", "role", "content"),), ("id",)),
-    Mapping("conversations", ("conversations", "conversations[].from", "conversations[].value"), (("turn", "system", "system"), ("turns", "conversations", "from", "value")), ("id", "system")),
+    Mapping("conversations", ("conversations", "conversations[].from", "conversations[].value"), (("turn", "system", "system"), ("turns", "conversations", "from", "value")), ("id", "system"), ALIASES),
     Mapping("turns", ("turns", "turns[].role", "turns[].text"), (("turns", "turns", "role", "text"),), ("id", "turns[].turn")),
     Mapping("instruction", ("instruction", "output"), (("turn", "system", "system"), ("turn", "user", "instruction", "input"), ("turn", "assistant", "output")), ("id", "input", "system")),
     Mapping("prompt_response", ("prompt", "response"), (("turn", "system", "system"), ("turn", "user", "prompt"), ("turn", "assistant", "response")), ("id", "system")),
@@ -95,23 +110,23 @@ def _steps(mapping: Mapping, value: Column) -> Column:
         if kind == "turns":
             path, role, text = rest
             parsed = F.try_variant_get(value, f"$.{path}", f"array<struct<{role}:string,{text}:string>>")
-            parts.append(_array_turns(parsed, role, text))
+            parts.append(_array_turns(parsed, role, text, mapping.roles))
         else:
             role, *paths = rest
             texts = F.filter(F.array(*[_string_at(value, p) for p in paths]), lambda x: x.isNotNull() & (x != ""))
             body = F.array_join(texts, "\n\n")
             given = F.coalesce(*[_string_at(value, p) for p in paths]).isNotNull() if role != "system" else body != ""
-            parts.append(F.when(given, F.array(_turn(F.lit(role), body))).otherwise(F.array().cast(TURNS)))
+            parts.append(F.when(given, F.array(_turn(F.lit(role), body, {}))).otherwise(F.array().cast(TURNS)))
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
-def _array_turns(parsed: Column, role: str, text: str) -> Column:
-    return F.transform(parsed, lambda x: _turn(x[role], x[text]))
+def _array_turns(parsed: Column, role: str, text: str, roles: dict) -> Column:
+    return F.transform(parsed, lambda x: _turn(x[role], x[text], roles))
 
 
-def _turn(role: Column, text: Column) -> Column:
+def _turn(role: Column, text: Column, roles: dict) -> Column:
     name = role
-    for alias, canonical in ALIASES.items():
+    for alias, canonical in roles.items():
         name = F.when(role == alias, F.lit(canonical)).otherwise(name)
     return F.struct(F.coalesce(name, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
@@ -120,7 +135,8 @@ def canonical_turns(records: DataFrame, record_col: str = "record", mappings: tu
     """Adds ``fingerprint`` (hash of the field paths), ``layout`` (the mapping's name) and ``turns``.
 
     ``record_col`` holds JSON text. A record that is null, malformed or of an unknown layout has null ``layout`` and
-    ``turns`` and stays in the result; null texts and roles become empty.
+    ``turns`` and stays in the result; null texts and roles become empty. A record that is too large for a VARIANT has
+    no fingerprint; it is read as the first layout that is one array of turns and fits.
     """
     value = F.try_parse_json(F.col(record_col))
     d = records.withColumns({"_value": value})
@@ -132,12 +148,18 @@ def canonical_turns(records: DataFrame, record_col: str = "record", mappings: tu
         chosen = F.col("_paths").isNotNull() & F.coalesce(F.col("fingerprint").isin(marks), F.lit(False))
         layout = F.when(chosen, F.lit(m.name)).otherwise(layout)
         turns = F.when(chosen, _steps(m, F.col("_value"))).otherwise(turns)
+    large = F.col("_value").isNull() & (F.octet_length(record_col) >= VARIANT_BYTES)
+    for m in reversed([m for m in mappings if len(m.steps) == 1 and m.steps[0][0] == "turns"]):
+        _, path, role, text = m.steps[0]
+        parsed = F.from_json(F.when(large, F.col(record_col)), f"{path} array<struct<{role}:string,{text}:string>>", {"maxStringLen": "2147483647"})[path]
+        layout = F.when(large & parsed.isNotNull(), F.lit(m.name)).otherwise(layout)
+        turns = F.when(large & parsed.isNotNull(), _array_turns(parsed, role, text, m.roles)).otherwise(turns)
     return d.withColumns({"layout": layout, "turns": turns}).drop("_value", "_paths")
 
 
 def render(turns: Column) -> Column:
     """The formatted text: for each turn the opening mark, the role, a newline, the escaped text and the closing mark."""
-    shown = F.transform(turns, lambda t: F.concat(F.lit(OPEN), escape(t["role"]), F.lit(MIDDLE), escape(t["text"]), F.lit(CLOSE)))
+    shown = F.transform(turns, lambda t: F.concat(F.lit(OPEN), escape_role(t["role"]), F.lit(MIDDLE), escape(t["text"]), F.lit(CLOSE)))
     return F.array_join(shown, "")
 
 
@@ -147,7 +169,7 @@ def read_back(formatted: Column) -> Column:
     body = F.transform(pieces, lambda p: F.substring(p, F.lit(1), F.length(p) - len(CLOSE)))
     return F.transform(
         body,
-        lambda p: F.struct(unescape(F.substring_index(p, MIDDLE, 1)).alias("role"), unescape(F.substring(p, F.length(F.substring_index(p, MIDDLE, 1)) + 2, F.length(p))).alias("text")),
+        lambda p: F.struct(unescape_role(F.substring_index(p, MIDDLE, 1)).alias("role"), unescape(F.substring(p, F.length(F.substring_index(p, MIDDLE, 1)) + 2, F.length(p))).alias("text")),
     )
 
 
@@ -156,7 +178,7 @@ def loss_lengths(turns: Column) -> Column:
     role; the whole turn of another role) and those with it (an assistant's escaped text), the closing mark last."""
 
     def runs(t):
-        head = F.length(F.concat(F.lit(OPEN), escape(t["role"]), F.lit(MIDDLE)))
+        head = F.length(F.concat(F.lit(OPEN), escape_role(t["role"]), F.lit(MIDDLE)))
         text = F.length(escape(t["text"]))
         ours = t["role"] == "assistant"
         return F.struct(F.when(ours, head).otherwise(head + text).alias("skip"), F.when(ours, text).otherwise(0).alias("learn"), F.lit(len(CLOSE)).alias("close"))

@@ -123,7 +123,7 @@ n as (select a, count(*) as n from links group by a)
 select vec_id, coalesce(n.n, 0)::bigint as n_links, component_id, vec_id = component_id as kept from v join low on low.a = vec_id left join n on n.a = vec_id
 """
 
-_ESC = r"regexp_replace({}, '([<\[])(\\*)(\|im_start\|>|\|im_end\|>|\|system\|>|\|user\|>|\|assistant\|>|\|endoftext\|>|/?s>|/?INST\]|</?SYS>>)', '\1\\\2\3', 'g')"
+_ESC = r"regexp_replace({}, '([<\[])(\\*)(\|im_start\|>|\|im_end\|>|\|newline\|>|\|system\|>|\|user\|>|\|assistant\|>|\|endoftext\|>|/?s>|/?INST\]|</?SYS>>)', '\1\\\2\3', 'g')"
 
 OP8 = f"""
 with r as (
@@ -133,7 +133,7 @@ with r as (
 select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
   sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
-  sum(24 + length({_ESC.format("role")}) + length({_ESC.format("text")}))::bigint as formatted_chars
+  sum(24 + length(replace({_ESC.format("role")}, chr(10), '<|newline|>')) + length({_ESC.format("text")}))::bigint as formatted_chars
 from r group by conv_id
 """
 

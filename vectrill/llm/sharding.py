@@ -39,11 +39,11 @@ def _counted(keys: DataFrame, probes: list[int]) -> tuple[list[int], list[int]]:
     return list(np.cumsum(size)), list(np.cumsum(rows))
 
 
-def splitters(keys: DataFrame, n_shards: int, tolerance: float = 0.002, probes_each: int = 48) -> tuple[list[int], list[tuple[int, int, int]]]:
+def splitters(keys: DataFrame, n_shards: int, tolerance: float = 0.002, probes_each: int = 48, snap: float = 0.01) -> tuple[list[int], list[tuple[int, int, int]]]:
     """Boundaries between ``n_shards`` shards of near equal bytes, and every ``(key, bytes below, rows below)`` counted.
 
     A boundary is within ``tolerance`` of a shard's share of its target, or there is at most one row between it and the
-    target. The driver holds ``(n_shards - 1) * probes_each`` numbers a round, whatever the input.
+    target; to keep equal texts together it may be off by ``snap`` of a share. The driver holds ``(n_shards - 1) * probes_each`` numbers a round, whatever the input.
     """
     size, rows = _counted(keys, [TOP - 1])
     total, n = size[-1], rows[-1]
@@ -68,6 +68,17 @@ def splitters(keys: DataFrame, n_shards: int, tolerance: float = 0.002, probes_e
             at = max(1, int(np.searchsorted(np.array(below, np.float64), goals[i], side="left")))
             low[i], high[i] = order[at - 1], order[min(at, len(order) - 1)]
     chosen = [low[i] if goals[i] - known[low[i]][0] <= known[high[i]][0] - goals[i] else high[i] for i in range(len(goals))]
+    # A boundary inside a group of equal texts (one high half) moves to the group's nearer end if sizes stay near equal.
+    ends = {c: [x for x in (c >> 32 << 32, (c >> 32) + 1 << 32) if x < TOP] for c in chosen}
+    if probes := sorted({x for xs in ends.values() for x in xs} - known.keys()):
+        size, rows = _counted(keys, probes)
+        known |= {p: (size[k], rows[k]) for k, p in enumerate(probes)}
+    last = -1
+    for i, c in enumerate(chosen):
+        near = min(ends[c], key=lambda x: abs(known[x][0] - goals[i]))  # noqa: B023
+        if near > last and abs(known[near][0] - goals[i]) <= snap * total / n_shards and near <= min(chosen[i + 1 :], default=TOP):
+            chosen[i] = near
+        last = chosen[i]
     return chosen, [(k, *known[k]) for k in sorted(known)]
 
 
