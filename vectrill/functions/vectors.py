@@ -22,8 +22,9 @@ def norm(v) -> Column:
 
 def normalize(v) -> Column:
     """The vector at length 1; a zero vector stays as it is."""
-    n = norm(v)
-    return F.transform(_c(v), lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))
+    # The outer transform binds the norm, which would be worked out for every component otherwise.
+    bound = F.transform(F.array(norm(v)), lambda n: F.transform(_c(v), lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n)))
+    return F.get(bound, F.lit(0))
 
 
 def cosine_distance(a, b) -> Column:
