@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import matrix
-from ._common import connected_components, cut, only
+from ._common import arrow_map, connected_components, cut, only
 
 SAMPLE = 20_000
 SHARD = 1_500
@@ -24,17 +24,10 @@ BLOCK = 3_000
 DEGREE = 24
 BEAM = 24
 ALPHA = 1.2
-MOST_CLUSTERS = 4_096
 AUDIT = 200
 TARGET_RECALL = 0.98
 
 
-def unit(rows) -> np.ndarray:
-    """Rows scaled to length 1 in double precision."""
-    x = np.array(list(rows), np.float64)
-    return x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x.reshape(0, 1)
-
-
 def _unit_rows(column) -> np.ndarray:
     x = matrix(column)
     n = np.linalg.norm(x, axis=1, keepdims=True)
@@ -187,8 +180,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, overlap: int = 2
 
     A null, zero or non-finite vector links with nothing and is its own component; so is a vector of another width
     than the first. Equal vectors are linked. Centroids and the audit use bounded samples (``sample`` and 200 vectors,
-    by the smallest hash of the id); every vector is indexed, searched for and counted. ``audit_recall`` is the share of
-    the audited vectors' links that was found; the overlap is doubled up to 16 while it is below ``target_recall``. Null ids don't name a component
+    by the smallest hash of the id, and 200 more that have links); every vector is indexed, searched for and counted. ``audit_recall`` is the share of
+    the audited vectors' links, by comparison with all vectors, that was found; the overlap is doubled up to 16 while it is below ``target_recall``. Null ids don't name a component
     unless it has no other. An empty table gives an empty table.
     """
     rows = only(vectors, vec_id=id_col, v=vector_col).withColumn("good", usable(F.col("v")))
@@ -204,7 +197,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, overlap: int = 2
     drawn = table.column("id").to_numpy(), _unit_rows(table.column("v"))
     while True:
         found = _components(points, n, drawn, threshold, overlap, shard_rows, block_rows)
-        recall = _audit(points, found, drawn[0][:AUDIT], drawn[1][:AUDIT], threshold)
+        # Links are rare: vectors that have some are audited besides vectors drawn from all.
+        linked = found.where(F.col("links") >= F.col("times")).orderBy(F.xxhash64("id"), "id").limit(AUDIT).select("id").join(points.select("id", "v"), "id").toArrow()
+        ids = np.concatenate([drawn[0][:AUDIT], linked.column("id").to_numpy()])
+        ids, first = np.unique(ids, return_index=True)
+        x = np.concatenate([drawn[1][:AUDIT], _unit_rows(linked.column("v"))])[first] if linked.num_rows else drawn[1][:AUDIT][first]
+        recall = _audit(points, found, ids, x, threshold)
         if recall >= target_recall or overlap >= 16:
             break
         overlap *= 2
@@ -217,43 +215,48 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, overlap: int = 2
 
 def _components(points: DataFrame, n: int, drawn: tuple, threshold: float, overlap: int, shard_rows: int, block_rows: int) -> DataFrame:
     """``points`` with ``root`` (a component's point) and ``links`` (other rows linked directly)."""
-    import pandas as pd
+    import pyarrow as pa
 
-    k = max(1, min(MOST_CLUSTERS, n // shard_rows, len(drawn[0]) // 4))
+    k = max(1, min(n // shard_rows, len(drawn[0]) // 4))
     centres = centroids(drawn[1], k) if len(drawn[0]) else np.zeros((1, 1))
     spread = min(overlap, k)
 
-    def deal(batches):
-        for p in batches:
-            x = unit(p["v"])
-            near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :spread]
-            yield pd.DataFrame({"id": np.repeat(p["id"].to_numpy(), spread), "v": p["v"].repeat(spread).to_numpy(), "cluster": near.ravel().astype(np.int32)})
-
-    dealt = cut(points.select("id", "v").mapInPandas(deal, "id long, v array<float>, cluster int"))
-    sizes = {r[0]: -(-r[1] // block_rows) for r in dealt.groupBy("cluster").count().collect()}
-    split = {c: b for c, b in sizes.items() if b > 1}
-    blocks = F.coalesce(*[F.when(F.col("cluster") == c, F.lit(b)) for c, b in split.items()], F.lit(1)) if split else F.lit(1)
+    def deal(b, centres):
+        x = _unit_rows(b.column("v"))
+        near = np.zeros((len(x), spread), np.int32)
+        for a in range(0, len(x), 1024):
+            away = -(x[a : a + 1024] @ centres.T)
+            near[a : a + 1024] = np.argpartition(away, spread - 1, axis=1)[:, :spread]
+        row = pa.array(np.repeat(np.arange(len(x)), spread))
+        yield pa.RecordBatch.from_arrays([b.column("id").take(row), b.column("v").take(row), pa.array(near.ravel())], ["id", "v", "cluster"])
+
+    dealt = cut(arrow_map(points.select("id", "v"), deal, "id long, v array<float>, cluster int", centres))
+    sizes = dealt.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("id", F.lit("block")), "blocks").cast("int")
     # Every pair of blocks of a large cluster is a shard, so each member meets all others.
-    shards = dealt.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    shards = dealt.join(sizes, "cluster").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     shards = shards.select("id", "v", "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     where = ["cluster", "i", "j"]
 
-    def build(p):
-        p = p.sort_values("id")
-        ids = p["id"].to_numpy()
-        lists = pruned_graph(unit(p["v"]))
-        return pd.DataFrame({"id": ids, "near": [ids[r[r >= 0]] for r in lists]})
+    def in_order(table):
+        ids = table.column("id").to_numpy()
+        order = np.argsort(ids)
+        return ids[order], _unit_rows(table.column("v"))[order], order
+
+    def build(table):
+        ids, x, _ = in_order(table)
+        lists = pruned_graph(x)
+        ends = np.concatenate([[0], np.cumsum((lists >= 0).sum(axis=1))]).astype(np.int32)
+        return pa.table({"id": pa.array(ids), "near": pa.ListArray.from_arrays(pa.array(ends), pa.array(ids[lists[lists >= 0]]))})
 
-    lists = shards.groupBy(*where).applyInPandas(build, "id long, near array<long>")
+    lists = shards.groupBy(*where).applyInArrow(build, "id long, near array<long>")
     united = lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
 
-    def find(p):
-        p = p.sort_values("id")
-        ids = p["id"].to_numpy()
-        near = p["near"].tolist()
-        size = np.fromiter(map(len, near), np.int64, len(near))
-        flat = np.concatenate(near) if len(near) else np.zeros(0, np.int64)
+    def find(table):
+        ids, x, order = in_order(table)
+        near = table.column("near").combine_chunks().take(pa.array(order))
+        size = near.value_lengths().to_numpy()
+        flat = near.flatten().to_numpy()
         at = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
         inside = ids[at] == flat
         row = np.repeat(np.arange(len(ids)), size)[inside]
@@ -261,11 +264,11 @@ def _components(points: DataFrame, n: int, drawn: tuple, threshold: float, overl
         place = np.arange(len(row)) - np.searchsorted(row, row)
         graph = np.full((len(ids), int(place.max()) + 1 if len(place) else 1), -1, np.int64)
         graph[row, place] = at
-        labels = search(unit(p["v"]), graph, threshold)
+        labels = search(x, graph, threshold)
         some = labels != np.arange(len(ids))
-        return pd.DataFrame({"a": ids[some], "b": ids[labels[some]]})
+        return pa.table({"a": pa.array(ids[some]), "b": pa.array(ids[labels[some]])})
 
-    links = shards.join(united, "id").groupBy(*where).applyInPandas(find, "a long, b long")
+    links = shards.join(united, "id").groupBy(*where).applyInArrow(find, "a long, b long")
     parts = cut(connected_components(links).withColumnRenamed("node", "id"))
     # Count the links of each component's members exactly, a pair of blocks at a time.
     members = points.select("id", "v", "times").join(parts, "id")
@@ -276,41 +279,41 @@ def _components(points: DataFrame, n: int, drawn: tuple, threshold: float, overl
     members = members.withColumn("bin", F.when(F.col("blocks") == 1, F.pmod("component", F.lit(max(64, n // 500)))).otherwise(F.col("component")))
     members = members.select("bin", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "v", "times")
 
-    def count(p):
-        out = []
-        for _, g in p.groupby("component"):
-            x, times, own = unit(g["v"]), g["times"].to_numpy().astype(np.float64), g["own"].to_numpy()
-            total = np.zeros(len(g))
-            crossed = g["i"].iloc[0] != g["j"].iloc[0]
+    def count(table):
+        component = table.column("component").to_numpy()
+        order = np.argsort(component, kind="stable")
+        x, ids = _unit_rows(table.column("v")), table.column("id").to_numpy()
+        times, own = table.column("times").to_numpy().astype(np.float64), table.column("own").to_numpy()
+        crossed = table.column("i")[0].as_py() != table.column("j")[0].as_py()
+        near = np.zeros(len(ids), np.int64)
+        for g in np.split(order, np.nonzero(np.diff(component[order]))[0] + 1):
             for a in range(0, len(g), 512):
-                close = (x[a : a + 512] @ x.T) >= threshold
-                here = np.arange(a, min(a + 512, len(g)))
-                close[here - a, here] = True
+                here = g[a : a + 512]
+                close = (x[here] @ x[g].T) >= threshold
+                close[np.arange(len(here)), np.arange(a, a + len(here))] = True
                 if crossed:
-                    close &= own[here][:, None] != own[None, :]
-                total[here] = close @ times
-            out.append(pd.DataFrame({"id": g["id"].to_numpy(), "near": total.astype(np.int64)}))
-        return pd.concat(out)
+                    close &= own[here][:, None] != own[g][None, :]
+                near[here] = close @ times[g]
+        return pa.table({"id": pa.array(ids), "near": pa.array(near)})
 
-    counted = members.groupBy("bin", "i", "j").applyInPandas(count, "id long, near long").groupBy("id").agg((F.sum("near") - 1).alias("links"))
+    counted = members.groupBy("bin", "i", "j").applyInArrow(count, "id long, near long").groupBy("id").agg((F.sum("near") - 1).alias("links"))
     joined = points.drop("v").join(parts, "id", "left").join(counted, "id", "left")
     return cut(joined.select("id", "key", "key2", "low_id", "times", F.coalesce("component", "id").alias("root"), F.coalesce("links", F.col("times") - 1).alias("links")))
 
 
 def _audit(points: DataFrame, found: DataFrame, ids: np.ndarray, x: np.ndarray, threshold: float) -> float:
     """Links of the drawn points that were found, of all that a comparison with every point finds."""
-    import pandas as pd
+    import pyarrow as pa
 
     if not len(ids):
         return 1.0
 
-    def compare(batches):
-        for p in batches:
-            close = (x @ unit(p["v"]).T) >= threshold
-            close |= ids[:, None] == p["id"].to_numpy()[None, :]
-            yield pd.DataFrame({"id": ids, "near": (close @ p["times"].to_numpy().astype(np.float64)).astype(np.int64)})
+    def compare(b):
+        close = (x @ _unit_rows(b.column("v")).T) >= threshold
+        close |= ids[:, None] == b.column("id").to_numpy()[None, :]
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((close @ b.column("times").to_numpy().astype(np.float64)).astype(np.int64))], ["id", "near"])
 
-    there = dict(map(tuple, points.select("id", "v", "times").mapInPandas(compare, "id long, near long").groupBy("id").agg(F.sum("near") - 1).collect()))
+    there = dict(map(tuple, arrow_map(points.select("id", "v", "times"), compare, "id long, near long").groupBy("id").agg(F.sum("near") - 1).collect()))
     mine = dict(map(tuple, found.where(F.col("id").isin(ids.tolist())).select("id", "links").collect()))
     total = sum(there.values())
     return sum(min(mine[i], there[i]) for i in there) / total if total else 1.0

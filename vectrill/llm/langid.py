@@ -146,7 +146,8 @@ def fit_documents(docs: DataFrame) -> dict[str, np.ndarray]:
 def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without letters, or too far from every language's profile, go.
 
-    Profiles are learned from the stage's own labelled input, and so are the limits (see ``limits``).
+    Profiles are learned from the stage's own labelled input, and so are the limits (see ``limits``). Where no row names a
+    language, nothing can be learned: only documents without letters go then.
     """
     profiles = fit_documents(docs)
     langs = [x for x in sorted(profiles) if len(profiles[x])]

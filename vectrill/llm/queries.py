@@ -30,7 +30,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embdedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.9).select("vec_id", "n_links", "component_id", "kept")
+    return embdedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.9)
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +120,7 @@ links as (select a.vec_id as a, b.vec_id as b from v as a join v as b on a.vec_i
 reach as (select vec_id as a, vec_id as b from v union select reach.a, links.b from reach join links on links.a = reach.b),
 low as (select a, min(b) as component_id from reach group by a),
 n as (select a, count(*) as n from links group by a)
-select vec_id, coalesce(n.n, 0)::bigint as n_links, component_id, vec_id = component_id as kept from v join low on low.a = vec_id left join n on n.a = vec_id
+select vec_id, coalesce(n.n, 0)::bigint as n_links, component_id, vec_id = component_id as kept, 1.0::double as audit_recall from v join low on low.a = vec_id left join n on n.a = vec_id
 """
 
 _ESC = r"regexp_replace({}, '([<\[])(\\*)(\|im_start\|>|\|im_end\|>|\|newline\|>|\|system\|>|\|user\|>|\|assistant\|>|\|endoftext\|>|/?s>|/?INST\]|</?SYS>>)', '\1\\\2\3', 'g')"
