@@ -287,3 +287,27 @@ def test_update_frame(db, spark):
     for bad in ([("c", "z")], [("a", "1"), ("a", "2")]):
         with pytest.raises(ValueError):
             col.update_frame(spark.createDataFrame(bad, "id string, document string"))
+
+
+def test_flush_merges_small_segments(db, monkeypatch):
+    monkeypatch.setattr("vectrill.collection.SMALL_SEGMENTS", 3)
+    col = db.collection("many", dim=8)
+    for i in range(3):
+        col.add(ids=[f"n{i}"], vectors=[E[i]])
+    col.upsert(ids=["n0"], vectors=[E[3]])
+    col.delete(ids=["n1"])
+    old = col.get(include=["vectors"])
+    col.flush()
+    now = col._store.load()
+    assert len(now.segments) == 1 and now.deletes == [] and now.index_gen == now.store_gen and col.health().coherent
+    assert col.get(include=["vectors"]).ids == old.ids and np.array_equal(old.vectors, col.get(include=["vectors"]).vectors)
+    monkeypatch.setattr("vectrill.collection.SMALL_BYTES", 0)
+    for i in range(4):
+        col.add(ids=[f"m{i}"], vectors=[E[i]])
+    col.flush()
+    assert len(col._store.load().segments) == 5 and col.query(vector=E[3], k=2).ids == ["n0", "m3"]
+    monkeypatch.undo()
+    monkeypatch.setattr("vectrill.collection.SMALL_SEGMENTS", 3)
+    col.delete()
+    col.flush()
+    assert col.count() == 0 and len(col._store.load().segments) == 1 and col.health().ok

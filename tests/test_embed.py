@@ -102,6 +102,28 @@ def _stop(done, total):
     raise RuntimeError("enough")
 
 
+def test_reembed_stops_between_batches(db, spark):
+    col = db.collection("steps", embedder=small)
+    col.add(ids=[f"r{i}" for i in range(7)], documents=["" if i == 3 else f"text {i}" for i in range(7)])
+    col.delete(ids=["r0"])
+    before, seen = col.get(include=["vectors"]).vectors, []
+
+    def stop_late(done, total):
+        seen.append((done, total))
+        if done >= 3:
+            raise KeyError("stop")
+
+    with pytest.raises(KeyError):
+        col.reembed(wide, batch_size=2, skip_empty="drop", on_progress=stop_late)
+    assert seen[0] == (0, 6) and 3 <= seen[-1][0] < 6 and col.dim == 8
+    assert np.array_equal(before, col.get(include=["vectors"]).vectors)
+    assert set(col._store.files.names(f"{col.path}/segments")) == {p.rsplit("/", 1)[1] for p, _ in col._store.load().segments}
+    seen.clear()
+    col.reembed(other, batch_size=2, skip_empty="keep", on_progress=lambda done, total: seen.append((done, total)))
+    assert seen[-1] == (6, 6) and [d for d, _ in seen] == sorted({d for d, _ in seen}) and len(seen) == 4
+    assert col.get().ids == [f"r{i}" for i in range(1, 7)] and col.embedder_identity == "other"
+
+
 def test_embedding_a_frame(db, spark):
     col = db.collection("f", embedder=small)
     col.add_frame(spark.createDataFrame([("a", "alpha"), ("b", "beta")], "id string, document string"))

@@ -23,6 +23,11 @@ from .sources.storage import Store, checkpointed
 
 log = logging.getLogger(__name__)
 _DEFAULT_QUERY = ("documents", "metadatas", "distances")
+#: Re-embedding with a progress callback works in at most this many steps.
+PROGRESS_STEPS = 20
+#: Segments below this size are merged by ``flush`` once there are that many of them.
+SMALL_BYTES = 64 << 20
+SMALL_SEGMENTS = 32
 
 
 @dataclass
@@ -414,8 +419,10 @@ class Collection:
         """Compute every vector anew from its document, with another embedder, width or bit width.
 
         Rows without text raise (``error``), keep their old vector (``keep``, only at the same width) or go (``drop``).
-        Batches run on the executors; ``on_progress(done, total)`` is called on the driver before and after, and may
-        raise to stop before anything is committed. Rows written meanwhile make the commit fail instead of being missed.
+        Batches run on the executors. With ``on_progress`` the rows are worked through in up to 20 ranges of row numbers,
+        a job and a segment each; ``on_progress(done, total)`` is called on the driver before the first and after each,
+        and may raise to stop: nothing is committed then, and what was written is removed. Rows written meanwhile make
+        the commit fail instead of being missed.
         """
         if skip_empty not in ("error", "keep", "drop"):
             raise ValueError("skip_empty must be error, keep or drop")
@@ -434,17 +441,30 @@ class Collection:
         schema.check_dim(width)
         if blank and skip_empty == "keep" and width != now.dim:
             raise ValueError("rows without a document can't keep a vector of another width")
-        if on_progress:
-            on_progress(0, total)
-        new = embed.embed_frame(rows.where(~empty), embedder, width, batch_size).select(*schema.ROW.names)
-        if blank and skip_empty == "keep":
-            new = new.unionByName(rows.where(empty).withColumn("vector", normalize("vector").cast("array<float>")))
-        segment = self._store.write(new, "segments")
-        if on_progress:
-            on_progress(total, total)
+        steps = min(PROGRESS_STEPS, -(-total // batch_size)) if on_progress else 1
+        span = max(1, -(-now.next_uid // steps))
+        ranges = rows.groupBy(F.expr(f"uid div {span}").alias("step")).agg(F.count(F.lit(1)).alias("n")).collect() if steps > 1 else [(0, total)]
+        segments, done = [], 0
+        try:
+            if on_progress:
+                on_progress(0, total)
+            for step, n in sorted(ranges):
+                part = rows if steps == 1 else rows.where(F.col("uid").between(step * span, (step + 1) * span - 1))
+                new = embed.embed_frame(part.where(~empty), embedder, width, batch_size).select(*schema.ROW.names)
+                if blank and skip_empty == "keep":
+                    new = new.unionByName(part.where(empty).withColumn("vector", normalize("vector").cast("array<float>")))
+                segments.append(self._store.new_path("segments"))
+                new.write.parquet(segments[-1])
+                done += n
+                if on_progress:
+                    on_progress(done, total)
+        except BaseException:
+            for path in segments:
+                self._store.files.delete(path)
+            raise
         gen = now.store_gen + 1
         after = dataclasses.replace(
-            now, dim=width, bit_width=bit_width or now.bit_width, embedder_identity=embed.identity_of(embedder), store_gen=gen, segments=[[segment, gen]], deletes=[], codes={}
+            now, dim=width, bit_width=bit_width or now.bit_width, embedder_identity=embed.identity_of(embedder), store_gen=gen, segments=[[p, gen] for p in segments], deletes=[], codes={}
         )
         if self._store.load().store_gen != now.store_gen or not self._store.commit(after):
             raise WriteConflictError("the collection changed during re-embedding; nothing was committed")
@@ -454,9 +474,11 @@ class Collection:
     # ---- upkeep ------------------------------------------------------------------------------------------------
 
     def flush(self) -> None:
-        """Write the codes of segments that have none yet, and record that the index is as new as the rows."""
+        """Merge small segments if there are many, write the codes of segments that have none yet, and record that the
+        index is as new as the rows."""
 
         def change(current: Manifest) -> Manifest | None:
+            current = self._merged(current)
             missing = [p for p, _ in current.segments if p not in current.codes]
             if not missing and current.index_gen == current.store_gen:
                 return None
@@ -467,6 +489,22 @@ class Collection:
 
         self._store.update(change)
 
+    def _merged(self, current: Manifest) -> Manifest:
+        """``current`` with its small segments as one, if they are many; large ones are never rewritten.
+
+        The merged segment is of the next generation and holds live rows only, so earlier deletes don't concern it; a
+        delete that is older than every segment left is dropped.
+        """
+        if len(current.segments) < SMALL_SEGMENTS:
+            return current
+        small = [e for e in current.segments if self._store.files.size(e[0]) < SMALL_BYTES]
+        if len(small) < SMALL_SEGMENTS:
+            return current
+        merged = self._store.write(self._store.rows(dataclasses.replace(current, segments=small)), "segments")
+        segments = [*(e for e in current.segments if e not in small), [merged, current.store_gen + 1]]
+        deletes = [d for d in current.deletes if any(g < d[1] for _, g in segments)]
+        return dataclasses.replace(current, segments=segments, deletes=deletes)
+
     def compact(self) -> None:
         """Rewrite live rows into one segment, so that reads no longer subtract deletes."""
 
