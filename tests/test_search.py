@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vectrill import candidate_pairs, knn, knn_join, l2_normalize, recall_at_k
 from vectrill.operators import quantize, search
@@ -65,6 +66,26 @@ def test_quantized_recall(data, bits, least):
     assert recall_at_k(quantize.knn_quantized(rows, q, 10, bits), exact, 10).first()[0] >= least
 
 
+@pytest.mark.parametrize("bits", [4, 2])
+def test_quantized_search_is_exact(spark, bits):
+    """Far more near copies than any pool holds, whose codes hardly differ; vectors without direction; codes without angles."""
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((20, 64))
+    x = np.concatenate([base[i % 20] + 0.05 * rng.standard_normal((1, 64)) for i in range(4000)] + [np.zeros((2, 64)), base[:3], base[:3]]).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "uid long, vector array<float>").repartition(3)
+    q = x[:30].astype(np.float64)
+    want = lists(knn(rows, q, 10), 30)
+    assert lists(quantize.knn_quantized(rows, q, 10, bits), 30) == want
+    assert lists(quantize.knn_quantized(rows, q, 10, bits, pool=50), 30) != want
+    bare = quantize.codes(rows, bits).withColumn("angle", F.lit(None).cast("double"))
+    assert lists(quantize.knn_quantized(rows, q, 10, bits, coded=bare), 30) == want
+    found, share = quantize.possible(quantize.codes(rows.where("uid < 4000"), bits), q, 10, bits)
+    assert abs(found.count() / (4000 * 30) - share) < 1e-9 and share < 0.06
+    few = rows.where("uid < 4")
+    assert lists(quantize.knn_quantized(few, q, 10, bits), 30) == lists(knn(few, q, 10), 30)
+    assert quantize.knn_quantized(few.limit(0), q, 10, bits).count() == 0
+
+
 def test_codes_do_not_depend_on_company():
     x = np.random.default_rng(2).standard_normal((50, 24))
     assert (quantize.encode(x, 4)[10] == quantize.encode(x[10:11], 4)[0]).all()

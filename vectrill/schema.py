@@ -24,7 +24,6 @@ SCHEMA_VERSION = 1
 DEFAULT_BIT_WIDTH = 4
 BIT_WIDTHS = (2, 3, 4)
 MAX_DIM = 16_384
-MIN_POOL = 50
 METRIC = "cosine"
 #: Squares of smaller norms aren't told apart from zero in single precision.
 MIN_NORM = 1.1920929e-07
