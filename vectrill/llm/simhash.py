@@ -108,8 +108,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_bits: int = 2,
     return marked.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Wide fingerprints: four longs.
+#: Wide fingerprints: four longs; the first is a SimHash of 64 bits by itself.
 WORDS = 4
+#: First fingerprints this close meet through blocks, whatever shingles they are filed under.
+NEAR_BITS = 2
 #: Pairs whose bits differ by this many deviations more than expected are not looked at further.
 DEVIATIONS = 6
 #: Size of the bitmap of the nodes whose sets are asked for.
@@ -246,10 +248,21 @@ def _group_links(p, q, similarity: float, max_bits: int):
     return pd.DataFrame({"a": nodes[linked], "b": nodes[labels[linked]]})
 
 
+def block_pairs(points: DataFrame, max_bits: int = NEAR_BITS, n_blocks: int = 5, bucket_limit: int = 32) -> DataFrame:
+    """Pairs ``a, b`` of ``points`` (node, f0) whose fingerprints ``f0`` link by ``close_pairs``: blocks, a join on them and a
+    Hamming check. Nodes of one fingerprint are linked with the lowest of them, which stands for the fingerprint."""
+    lowest = cut(points.groupBy(F.col("f0").alias("fp")).agg(F.min("node").alias("low")))
+    near = close_pairs(lowest.select("fp"), max_bits, n_blocks, bucket_limit)
+    ends = near.join(lowest.toDF("a", "low_a"), "a").join(lowest.toDF("b", "low_b"), "b").select(F.least("low_a", "low_b").alias("a"), F.greatest("low_a", "low_b").alias("b"))
+    same = points.select("node", F.col("f0").alias("fp")).join(lowest, "fp").where("node > low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    return ends.union(same)
+
+
 def similar_links(points: DataFrame, filed: DataFrame, sets_of, similarity: float, bucket_limit: int = 8, block_rows: int = 1000, bin_rows: int = 2000) -> DataFrame:
     """Links ``a, b`` that join the same groups as all pairs of points whose Jaccard similarity is ``similarity`` or more.
 
-    ``points`` has ``node``, ``n`` (size of its set) and ``f0`` to ``f3``; ``filed`` has ``key, node``, the first
+    Candidates are the pairs that SimHash finds (``block_pairs``) and, as no choice of blocks is sure to be shared by pairs whose
+    fingerprints differ in more bits, those that share a first shingle. ``points`` has ``node``, ``n`` (size of its set) and ``f0`` to ``f3``; ``filed`` has ``key, node``, the first
     shingles of each set (repeats allowed); ``sets_of(nodes)`` gives ``node, shingles`` for the nodes that are asked for. Whoever shares a bucket and is near
     enough by size and fingerprint is compared by the whole sets. Buckets of up to ``bucket_limit``
     are joined with themselves. Crowded ones go to bins by their lowest member, so that copies that share many buckets
@@ -262,7 +275,8 @@ def similar_links(points: DataFrame, filed: DataFrame, sets_of, similarity: floa
     sizes = held.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("leader"))
     held = held.join(sizes, "key")
     small = held.where(F.col("members") <= bucket_limit).select("key", "node")
-    pairs = small.join(small.select("key", F.col("node").alias("b")), "key").where("node < b").select(F.col("node").alias("a"), "b").distinct()
+    pairs = small.join(small.select("key", F.col("node").alias("b")), "key").where("node < b").select(F.col("node").alias("a"), "b")
+    pairs = pairs.union(block_pairs(points)).distinct()
     f = [F.col(f"f{i}") for i in range(WORDS)]
     left = points.select(F.col("node").alias("a"), F.col("n").alias("n_a"), *[x.alias(f"l{i}") for i, x in enumerate(f)])
     right = points.select(F.col("node").alias("b"), F.col("n").alias("n_b"), *[x.alias(f"r{i}") for i, x in enumerate(f)])
@@ -300,7 +314,9 @@ def similar_rows(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.
     """``doc_id, mark`` (hash of the text) and ``root`` of every row: rows of one root are linked, directly or through
     others, by a Jaccard similarity of their shingle sets of ``similarity`` or more.
 
-    Every such pair shares one of the first shingles of either set in any order of the shingles, so filing under these
+    Candidates come from SimHash: 64-bit fingerprints, blocks, a join on these and a Hamming check. It can be sure only of
+    pairs that differ in ``NEAR_BITS`` or fewer bits, while 0.8 means about ten; there is an exact way for the rest:
+    every such pair shares one of the first shingles of either set in any order of the shingles, so filing under these
     loses none. Shingles that many rows file under in the order of hashes come last in the order used, so that a
     passage found everywhere crowds no bucket. 256-bit fingerprints with ``DEVIATIONS`` to spare sift the pairs that
     meet, and each link is confirmed by the whole sets. Sets are named by 64-bit hashes; texts with equal sets are
